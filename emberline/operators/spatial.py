@@ -213,7 +213,7 @@ def _replicate(tree: Quadtree, offset: np.ndarray):
 
 
 def _probe(tree: Quadtree, leaf_of_part: np.ndarray):
-    def run(key, points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(points) and len(regions):
             leaf = leaf_of_part[key[0]]

@@ -62,6 +62,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("status = 'filled'").select(*CELL, day_index("day").alias("day_since"))
 
 
+def p3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each day of the series is: a reading, filled or uncovered."""
+    return p3_series(spark, sf_dir).select(*CELL, "day_since", "status")
+
+
 def p3_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counter form of the same operator: the cumulative detections number of a cell's day,
     read at each detection, spread back over the days."""
@@ -132,9 +137,62 @@ QUERIES = {
     "p1_rolling": p1_rolling,
     "p3_found": p3_found,
     "p3_series": p3_series,
+    "p3_status": p3_status,
     "p3_accumulated": p3_accumulated,
     "p4_found": p4_found,
     "p4_values": p4_values,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
 }
+
+_USABLE = "CASE WHEN {c} >= 0 AND {c} < 2000 THEN {c} END"
+_FIRE_ROWS = f"""
+u AS (SELECT lonind, latind, date, loaded_at, {_USABLE.format(c="tp_med")} AS tp_med, {_USABLE.format(c="dc_med")} AS dc_med, {_USABLE.format(c="fwi_med")} AS fwi_med FROM fwi_fire),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lonind, latind, date ORDER BY loaded_at DESC, tp_med DESC NULLS LAST, dc_med DESC NULLS LAST, fwi_med DESC NULLS LAST) AS rn FROM u) WHERE rn = 1),
+b AS (SELECT lonind, latind, min(date) AS a, max(date) AS z FROM c GROUP BY lonind, latind),
+k AS (SELECT lonind, latind, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM b),
+j AS (SELECT k.lonind, k.latind, k.date, tp_med, dc_med, fwi_med FROM k LEFT JOIN c USING (lonind, latind, date)),
+w AS (SELECT lonind, latind, CAST(datediff('day', DATE '2002-01-01', date) AS INTEGER) AS day_since, {", ".join(f"coalesce(sum({v}) OVER w{n}, 0) AS {v}_sum_{n}, count({v}) OVER w{n} AS {v}_cnt_{n}, avg({v}) OVER w{n} AS {v}_avg_{n}" for v in INDICES for n in (7, 30))}
+  FROM j WINDOW w7 AS (PARTITION BY lonind, latind ORDER BY date ROWS 6 PRECEDING), w30 AS (PARTITION BY lonind, latind ORDER BY date ROWS 29 PRECEDING))"""
+_POSITIONS = """
+pos AS (SELECT row_id, labs8, frp, date,
+  CASE WHEN ok THEN longitude WHEN abs(x * x + y * y + z * z - 1) < 1e-6 THEN degrees(atan2(y, x)) END AS lon,
+  CASE WHEN ok THEN latitude WHEN abs(x * x + y * y + z * z - 1) < 1e-6 THEN degrees(asin(z)) END AS lat
+  FROM (SELECT *, coalesce(NOT isnan(longitude) AND NOT isnan(latitude) AND longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90, false) AS ok FROM firedata))"""
+_READING_DAYS = """
+d AS (SELECT CAST(floor((lon - 92.875) / 0.25) AS INTEGER) AS lonind, CAST(floor((lat + 13.125) / 0.25) AS INTEGER) AS latind, CAST(datediff('day', DATE '2002-01-01', CAST(date AS DATE)) AS INTEGER) AS day_since, count(*) AS n
+  FROM pos WHERE lon IS NOT NULL AND NOT isnan(frp) AND NOT isinf(frp) AND frp > 0 GROUP BY ALL),
+g AS (SELECT *, lead(day_since) OVER (PARTITION BY lonind, latind ORDER BY day_since) AS nx FROM d)"""
+_INSIDE = """
+hit AS (SELECT row_id, site_id FROM pos, heat_sites h WHERE lon IS NOT NULL AND CASE WHEN shape = 'circle'
+  THEN 2 * 6371.0 * asin(sqrt(least(1, power(sin(radians(h.latitude - lat) / 2), 2) + cos(radians(lat)) * cos(radians(h.latitude)) * power(sin(radians(h.longitude - lon) / 2), 2)))) <= radius_km
+  ELSE lon > west AND lon < east AND lat > south AND lat < north END)"""
+_REMARK = r"regexp_replace(lower(remark), '[^;,/]*\b(was|before|checked against)\b[^;,/]*', ' ', 'g')"
+_UNITS = rf"""
+r AS (SELECT obs_id, time, feed, t2m, tp, {_REMARK} AS m FROM clim_dataset),
+f AS (SELECT feed, valid_from, lead(valid_from) OVER (PARTITION BY feed ORDER BY valid_from) AS valid_to, lower(description) AS txt FROM feeds),
+j AS (SELECT r.*,
+  CASE WHEN regexp_matches(m, 'fahrenheit|°f|degf|temp\.f|temp [0-9.]+ f|grados f\b') THEN 'F' WHEN regexp_matches(m, 'celsius|centigrad|°c|degc|temp [0-9.]+ c') THEN 'C' WHEN regexp_matches(m, 'kelvin|t2m in k|temp [0-9.]+ k') THEN 'K' END AS t_said,
+  CASE WHEN regexp_matches(m, '(tp|rain|precip|lluvia|hujan|gauge reading)[^;,/]*(\bmm\b|\[mm\]|mill?imet|milímet)') THEN 'mm' WHEN regexp_matches(m, '(tp|rain|precip|lluvia|hujan)[^;,/]*(\[in\]| in\.|inch|inci|pulgada|")') THEN 'in'
+       WHEN regexp_matches(m, '(tp|rain|precip|hujan)[^;,/]*(in m$|in m[^a-z]|metre|meter|[0-9] m$|[0-9] m[^a-z])') THEN 'm' END AS p_said,
+  CASE WHEN txt LIKE '%fahrenheit%' THEN 'F' WHEN txt LIKE '%celsius%' THEN 'C' WHEN regexp_matches(txt, 'kelvin|\[k\]|\bk for') THEN 'K' END AS t_feed,
+  CASE WHEN txt LIKE '%inches of rain%' THEN 'in' WHEN regexp_matches(txt, 'millimet|\bmm\b') THEN 'mm' WHEN regexp_matches(txt, '\bmetres?\b|\[m\]|in m\.') THEN 'm' END AS p_feed
+  FROM r LEFT JOIN f ON r.feed = f.feed AND r.time >= f.valid_from AND (valid_to IS NULL OR r.time < valid_to)),
+h AS (SELECT obs_id, h2m, {_REMARK} AS m FROM fwi_climatology WHERE NOT isnan(h2m) AND h2m > 0),
+case_ AS (SELECT 'clim_dataset' AS table_name, obs_id, 't2m' AS field, coalesce(t_said, t_feed, CASE WHEN t2m < 50 THEN 'C' WHEN t2m < 150 THEN 'F' ELSE 'K' END) AS unit FROM j WHERE NOT isnan(t2m) AND t2m > -300
+  UNION ALL SELECT 'clim_dataset', obs_id, 'tp', coalesce(p_said, p_feed) FROM j WHERE NOT isnan(tp) AND tp > 0
+  UNION ALL SELECT 'fwi_climatology', obs_id, 'h2m', CASE WHEN regexp_matches(m, 'fraction|0\.\.1|share of one|pecahan|ratio not') THEN 'fraction' WHEN regexp_matches(m, 'x10|by ten|tenths|per mille') THEN 'tenths' WHEN h2m < 2 THEN 'fraction' WHEN h2m > 200 THEN 'tenths' ELSE '%' END FROM h)"""
+
+SQL = {
+    "p1_found": f"""WITH {_FIRE_ROWS} SELECT lonind, latind, day_since, kind FROM w, unnest([CASE WHEN tp_med_sum_7 > 150.05 THEN 'wet7' END,
+      CASE WHEN tp_med_sum_30 < 10.05 AND tp_med_cnt_30 >= 20 THEN 'dry30' END, CASE WHEN dc_med_avg_30 > 700.0333 AND dc_med_cnt_30 >= 20 THEN 'dc30' END,
+      CASE WHEN fwi_med_avg_7 > 30.0333 AND fwi_med_cnt_7 >= 4 THEN 'fwi7' END]) AS t(kind) WHERE kind IS NOT NULL""",
+    "p1_rolling": f"""WITH {_FIRE_ROWS} SELECT lonind, latind, day_since, {", ".join(f"round({v}_sum_{n}, 4) AS {v}_sum_{n}, {v}_cnt_{n}, round({v}_avg_{n}, 4) AS {v}_avg_{n}" for v in INDICES for n in (7, 30))} FROM w""",
+    "p3_found": f"WITH {_POSITIONS}, {_READING_DAYS} SELECT lonind, latind, CAST(unnest(range(day_since + 1, nx)) AS INTEGER) AS day_since FROM g WHERE nx - day_since BETWEEN 2 AND 10",
+    "p3_status": f"""WITH {_POSITIONS}, {_READING_DAYS} , s AS (SELECT *, unnest(range(day_since, coalesce(nx, day_since + 1))) AS day FROM g)
+      SELECT lonind, latind, CAST(day AS INTEGER) AS day_since, CASE WHEN day = day_since THEN 'reading' WHEN nx - day_since <= 10 THEN 'filled' ELSE 'uncovered' END AS status FROM s""",
+    "p4_found": f"WITH {_UNITS} SELECT * FROM case_ WHERE unit NOT IN ('K', 'm', '%')",
+    "p6_found": f"WITH {_POSITIONS}, {_INSIDE} SELECT row_id, site_id FROM hit",
+    "p6_groups": f"""WITH {_POSITIONS}, {_INSIDE} SELECT labs8, count(*) AS n_rows, count(h.row_id) AS n_inside FROM pos LEFT JOIN (SELECT DISTINCT row_id FROM hit) h USING (row_id)
+      WHERE labs8 IS NOT NULL AND lon IS NOT NULL GROUP BY labs8 HAVING count(h.row_id) > 0""",
+}
