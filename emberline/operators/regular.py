@@ -12,7 +12,7 @@ from ..functions.clean import finite
 DAY_S = 86_400.0
 
 
-def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_gap: int, counter: bool = True) -> DataFrame:
+def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_gap: int, counter: bool = True, uncovered: bool = True) -> DataFrame:
     """A daily series per source: ``keys, day, n_readings, amount, status``.
 
     ``counter``: the value is a cumulative counter.  Consecutive readings are
@@ -27,7 +27,8 @@ def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_ga
 
     ``status``: ``reading`` (the day has one), ``filled`` (none, but an
     interval of at most ``max_gap`` days covers it) or ``uncovered``.  One row
-    for each day from a source's first to its last reading.
+    for each day from a source's first to its last reading, or without the
+    uncovered ones if ``uncovered`` is False.
 
     Readings are worked off per source and day, then the days of a source are
     linked by their first and last reading, so a hot source is split into its
@@ -49,22 +50,25 @@ def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_ga
         entering = F.col("first.v")
     over = Window.partitionBy(*k).orderBy("d")
     linked = days.withColumns({"prev": F.lag("last").over(over), "prev_d": F.lag("d").over(over)}).withColumn("entering", entering)
-    gap = F.datediff("d", "prev_d")
-    covered = F.coalesce(gap <= max_gap, F.lit(False))
-    spans = linked.select(
-        *k, "d", "n", "inside", "entering", covered.alias("covered"), F.col("prev.s").alias("s0"), F.col("first.s").alias("s1"), "prev_d",
-        F.explode(F.sequence(F.coalesce("prev_d", "d"), "d")).alias("day"),
-    )
-    start = F.unix_seconds(F.col("day").cast("timestamp")).cast("double")
-    overlap = F.least("s1", start + DAY_S) - F.greatest("s0", start)
-    share = F.when(F.col("covered"), F.when(F.col("s1") > F.col("s0"), F.greatest(F.lit(0.0), overlap) / (F.col("s1") - F.col("s0"))).otherwise((F.col("day") == F.col("d")).cast("double"))).otherwise((F.col("day") == F.col("d")).cast("double"))
+    # a day's own amount, and the interval after it, which the days up to the next reading share
+    ahead = {"next_d": F.lead("d").over(over), "s1": F.lead("first.s").over(over), "coming": F.lead("entering").over(over)}
+    linked = linked.withColumns(ahead | {"s0": F.col("last.s")})
+    near_before = F.coalesce(F.datediff("d", "prev_d") <= max_gap, F.lit(False))
+    covered = F.coalesce(F.datediff("next_d", "d") <= max_gap, F.lit(False))
+
+    def share(start, t0, t1):
+        """Part of the interval from ``t0`` to ``t1`` that lies in the day from ``start``."""
+        overlap = F.greatest(F.lit(0.0), F.least(t1, start + DAY_S) - F.greatest(t0, start))
+        return F.when(t1 > t0, overlap / (t1 - t0)).otherwise(0.0)
+
+    def start_of(day):
+        return F.unix_seconds(F.col(day).cast("timestamp")).cast("double")
+
+    into_own = F.when(near_before & (F.col("first.s") > F.col("prev.s")), share(start_of("d"), F.col("prev.s"), F.col("first.s"))).otherwise(1.0)
+    end = F.when(F.col("next_d").isNotNull() & (covered | F.lit(uncovered)), F.date_sub("next_d", 1)).otherwise(F.col("d"))
+    spans = linked.select(*k, "d", "n", (F.col("inside") + F.col("entering") * into_own).alias("own"), "s0", "s1", "coming", covered.alias("covered"), F.explode(F.sequence("d", end)).alias("day"))
     own = F.col("day") == F.col("d")
-    parts = spans.select(
-        *k, "day",
-        F.when(own, F.col("n")).otherwise(0).alias("n"),
-        (F.when(own, F.col("inside")).otherwise(0.0) + F.col("entering") * share).alias("amount"),
-        (~own & (F.col("day") != F.col("prev_d")) & F.col("covered")).alias("filled"),
-    )
-    out = parts.groupBy(*k, "day").agg(F.sum("n").alias("n_readings"), F.sum("amount").alias("amount"), F.max("filled").alias("filled"))
-    status = F.when(F.col("n_readings") > 0, "reading").when(F.col("filled"), "filled").otherwise("uncovered")
+    spread = F.when(F.col("covered"), F.col("coming") * share(start_of("day"), F.col("s0"), F.col("s1"))).otherwise(0.0)
+    out = spans.select(*k, "day", F.when(own, F.col("n")).otherwise(0).alias("n_readings"), (F.when(own, F.col("own")).otherwise(0.0) + spread).alias("amount"), "covered")
+    status = F.when(F.col("n_readings") > 0, "reading").when(F.col("covered"), "filled").otherwise("uncovered")
     return out.select(*(F.col(a).alias(c) for c, a in zip(keys, k, strict=True)), "day", "n_readings", "amount", status.alias("status"))

@@ -58,7 +58,7 @@ def p3_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days without a reading that an interval of at most 10 days covers."""
-    g = daily_grid(frp_readings(spark, sf_dir), CELL, "date", "frp", 10, counter=False)
+    g = daily_grid(frp_readings(spark, sf_dir), CELL, "date", "frp", 10, counter=False, uncovered=False)
     return g.where("status = 'filled'").select(*CELL, day_index("day").alias("day_since"))
 
 
