@@ -25,7 +25,7 @@ def current_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, counts and averages over 7 and 30 days for every cell and calendar day."""
     out = trailing_totals(current_indices(spark, sf_dir), CELL, "date", INDICES, (7, 30))
-    measures = [F.round(c, 4).alias(c) if "_cnt_" not in c else F.col(c).cast("long").alias(c) for c in out.columns[3:]]
+    measures = [F.round(c, 6).alias(c) if "_cnt_" not in c else F.col(c).cast("long").alias(c) for c in out.columns[3:]]
     return out.select(*CELL, day_index("date").alias("day_since"), *measures)
 
 
@@ -145,7 +145,7 @@ QUERIES = {
     "p6_groups": p6_groups,
 }
 
-_USABLE = "CASE WHEN {c} >= 0 AND {c} < 2000 THEN {c} END"
+_USABLE = "CASE WHEN NOT isnan({c}) AND {c} >= 0 AND {c} < 2000 THEN {c} END"
 _FIRE_ROWS = f"""
 u AS (SELECT lonind, latind, date, loaded_at, {_USABLE.format(c="tp_med")} AS tp_med, {_USABLE.format(c="dc_med")} AS dc_med, {_USABLE.format(c="fwi_med")} AS fwi_med FROM fwi_fire),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lonind, latind, date ORDER BY loaded_at DESC, tp_med DESC NULLS LAST, dc_med DESC NULLS LAST, fwi_med DESC NULLS LAST) AS rn FROM u) WHERE rn = 1),
@@ -187,7 +187,7 @@ SQL = {
     "p1_found": f"""WITH {_FIRE_ROWS} SELECT lonind, latind, day_since, kind FROM w, unnest([CASE WHEN tp_med_sum_7 > 150.05 THEN 'wet7' END,
       CASE WHEN tp_med_sum_30 < 10.05 AND tp_med_cnt_30 >= 20 THEN 'dry30' END, CASE WHEN dc_med_avg_30 > 700.0333 AND dc_med_cnt_30 >= 20 THEN 'dc30' END,
       CASE WHEN fwi_med_avg_7 > 30.0333 AND fwi_med_cnt_7 >= 4 THEN 'fwi7' END]) AS t(kind) WHERE kind IS NOT NULL""",
-    "p1_rolling": f"""WITH {_FIRE_ROWS} SELECT lonind, latind, day_since, {", ".join(f"round({v}_sum_{n}, 4) AS {v}_sum_{n}, {v}_cnt_{n}, round({v}_avg_{n}, 4) AS {v}_avg_{n}" for v in INDICES for n in (7, 30))} FROM w""",
+    "p1_rolling": f"""WITH {_FIRE_ROWS} SELECT lonind, latind, day_since, {", ".join(f"round({v}_sum_{n}, 6) AS {v}_sum_{n}, {v}_cnt_{n}, round({v}_avg_{n}, 6) AS {v}_avg_{n}" for v in INDICES for n in (7, 30))} FROM w""",
     "p3_found": f"WITH {_POSITIONS}, {_READING_DAYS} SELECT lonind, latind, CAST(unnest(range(day_since + 1, nx)) AS INTEGER) AS day_since FROM g WHERE nx - day_since BETWEEN 2 AND 10",
     "p3_status": f"""WITH {_POSITIONS}, {_READING_DAYS} , s AS (SELECT *, unnest(range(day_since, coalesce(nx, day_since + 1))) AS day FROM g)
       SELECT lonind, latind, CAST(day AS INTEGER) AS day_since, CASE WHEN day = day_since THEN 'reading' WHEN nx - day_since <= 10 THEN 'filled' ELSE 'uncovered' END AS status FROM s""",
