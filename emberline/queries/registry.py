@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, weather
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_PARTS = (problems, weather)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PARTS for k, s in p.SQL.items()}
