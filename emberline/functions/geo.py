@@ -148,10 +148,11 @@ class Grid:
 
     def _index(self, value: str | Column, edge: float, bins: int) -> Column:
         v = as_col(value)
-        return F.when(v < edge, F.lit(-1)).otherwise(F.least(F.floor((v - edge) / self.step), F.lit(bins - 1))).cast("int")
+        inside = F.least(F.floor((v - edge) / self.step), F.lit(bins - 1))
+        return F.when(v < edge, F.lit(-1)).when(v.isNotNull() & ~F.isnan(v), inside).cast("int")
 
     def lonind(self, lon: str | Column = "longitude") -> Column:
-        """Bin of a longitude: -1 below the first edge, the last bin above the last edge."""
+        """Bin of a longitude: -1 below the first edge, the last bin above the last edge; NULL for NULL and NaN."""
         return self._index(lon, self.lon_edge, self.n_lon)
 
     def latind(self, lat: str | Column = "latitude") -> Column:

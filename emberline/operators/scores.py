@@ -21,6 +21,8 @@ def scores(df: DataFrame, group: Sequence[str], label: str, prob: str) -> DataFr
     AUC counts ties half; it and the average precision are NULL without
     positives or (AUC) negatives.  Rows with a NULL label or score don't count.
     """
+    if not group:
+        return scores(df.withColumn("all__", F.lit(1)), ["all__"], label, prob).drop("all__")
     d = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull())
     s = _by_score(d, group, label, prob)
     down = Window.partitionBy(*group).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)

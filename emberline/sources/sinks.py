@@ -33,7 +33,11 @@ def nested_json(df: DataFrame, outer: str, inner: str, order: Sequence[str], val
     """
     packed = F.array_sort(F.collect_list(F.struct(*order, *(F.col(c).alias(f"v{i}") for i, c in enumerate(values.values())))))
     per = df.groupBy(outer, inner).agg(packed.alias("rows"))
-    arrays = F.struct(*(F.transform("rows", lambda r, i=i: r[f"v{i}"]).alias(n) for i, n in enumerate(values)))
+
+    def array(i: int):
+        return F.transform("rows", lambda r: r[f"v{i}"])
+
+    arrays = F.struct(*(array(i).alias(n) for i, n in enumerate(values)))
     whole = per.select(outer, F.struct(F.col(inner).cast("string").alias("key"), arrays.alias("value")).alias("e"))
     return whole.groupBy(outer).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e")))).alias("json"))
 
