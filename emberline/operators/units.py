@@ -190,6 +190,42 @@ def best_unit(quantity: Quantity, mixture: Mixture, value: Column) -> Column:
     return F.transform(F.transform(F.array(value), options), choose)[0]
 
 
+def unit_ranges(quantity: Quantity, mixture: Mixture, grid: int = 20_000) -> list[tuple[float, str | None]]:
+    """``(from, unit)``, ascending: which unit is the most probable for values from there on; None where none is plausible."""
+    bounds = np.array(sorted(b / u.scale - u.shift for u in quantity.units for b in (quantity.low, quantity.high)))
+    w = np.array([math.log(mixture.weights[u.name]) + math.log(u.scale) for u in quantity.units])
+
+    def best(v: np.ndarray) -> np.ndarray:
+        n = np.stack([u.to_nominal(v) for u in quantity.units])
+        ok = (n >= quantity.low) & (n <= quantity.high)
+        y = np.log(np.where(ok, n, 1.0))
+        d = np.where(ok, w[:, None] - y - 0.5 * ((y - mixture.mean) / mixture.sd) ** 2, -np.inf)
+        return np.where(ok.any(axis=0), d.argmax(axis=0), -1)
+
+    spread = np.geomspace(max(bounds[0], 1e-12), bounds[-1], grid) if bounds[0] > 0 else np.linspace(bounds[0], bounds[-1], grid)
+    at = np.unique(np.concatenate([spread, bounds, np.linspace(bounds[0], bounds[-1], grid), np.nextafter(bounds, np.inf), [np.nextafter(bounds[0], -np.inf)]]))
+    names = [u.name for u in quantity.units]
+    kinds = best(at)
+    out = [(-math.inf, None if kinds[0] < 0 else names[kinds[0]])]
+    for i in np.flatnonzero(kinds[1:] != kinds[:-1]):
+        low, high = at[i], at[i + 1]
+        for _ in range(100):
+            mid = (low + high) / 2
+            if not low < mid < high:
+                break
+            low, high = (mid, high) if best(np.array([mid]))[0] == kinds[i] else (low, mid)
+        out.append((float(high), None if kinds[i + 1] < 0 else names[kinds[i + 1]]))
+    return out
+
+
+def ranged_unit(ranges: list[tuple[float, str | None]], value: Column) -> Column:
+    """The ranges as one CASE, so that the unit costs a few comparisons."""
+    out = F.when(value < ranges[1][0], F.lit(ranges[0][1])) if len(ranges) > 1 else F.when(value.isNotNull(), F.lit(ranges[0][1]))
+    for (_, unit), (end, _) in zip(ranges[1:], ranges[2:], strict=False):
+        out = out.when(value < end, F.lit(unit))
+    return out.when(value.isNotNull(), F.lit(ranges[-1][1]))
+
+
 def histogram(df: DataFrame, quantity: Quantity, value: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the non-zero values by bin; at most (plausible range / bin width) rows reach the driver."""
     v = F.col(value)
@@ -217,17 +253,17 @@ def with_units(df: DataFrame, quantity: Quantity, value: str, remark_unit: Colum
     silent = stated.where(F.col(f"{f}__r").isNull() & F.col(f"{f}__s").isNull())
     mixture = fit_mixture(q, *histogram(silent, q, f"{f}__v"))
     v, said = F.col(f"{f}__v"), F.coalesce(f"{f}__r", f"{f}__s")
-    stated = stated.withColumn(f"{f}__g", F.when(v.isNotNull() & said.isNull(), best_unit(q, mixture, v)))
+    ranges = unit_ranges(q, mixture)
     zero = F.lit(q.zero_is_any) & (v == 0.0)
-    unit = F.when(v.isNotNull(), F.coalesce(said, F.when(zero, q.units[0].name), F.col(f"{f}__g.unit")))
-    posterior = F.when(v.isNotNull(), F.when(said.isNotNull() | zero, 1.0).otherwise(F.col(f"{f}__g.posterior")))
+    unit = F.when(v.isNotNull(), F.coalesce(said, F.when(zero, q.units[0].name), ranged_unit(ranges, v)))
+    posterior = F.when(v.isNotNull(), F.when(said.isNotNull() | zero, 1.0).otherwise(best_unit(q, mixture, v)["posterior"]))
     nominal = None
     for u in q.units:
         n = u.to_nominal(v)
         nominal = F.when(F.col(f"{f}_unit") == u.name, n) if nominal is None else nominal.when(F.col(f"{f}_unit") == u.name, n)
     by = F.when(v.isNotNull(), F.when(F.col(f"{f}__r").isNotNull(), "remark").when(F.col(f"{f}__s").isNotNull(), "source").otherwise("value"))
     out = stated.withColumns({f"{f}_unit": unit, f"{f}_by": by, f"{f}_posterior": posterior})
-    return out.withColumns({f"{f}_uncertain": F.col(f"{f}_posterior") < sure, f"{f}_nominal": nominal}).drop(f"{f}__v", f"{f}__r", f"{f}__s", f"{f}__g")
+    return out.withColumns({f"{f}_uncertain": F.col(f"{f}_posterior") < sure, f"{f}_nominal": nominal}).drop(f"{f}__v", f"{f}__r", f"{f}__s")
 
 
 def with_source_units(df: DataFrame, sources: DataFrame, key: str, time: str, valid_from: str, description: str, quantities: list[Quantity], most: int = 20_000) -> DataFrame:

@@ -90,27 +90,29 @@ def _humidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_units(table(spark, sf_dir, "fwi_climatology").select("obs_id", "h2m", "remark"), H2M, "h2m", stated_in_remark(H2M, "remark"))
 
 
-def _cases(name: str, field: str, df: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    return df.select(F.lit(name).alias("table_name"), "obs_id", F.lit(field).alias("field"), F.col(f"{field}_unit").alias("unit"), *(c.alias(k) for k, c in (extra or {}).items()))
+def _case(name: str, field: str, wanted: Column, *extra: Column) -> Column:
+    """A struct of the result's columns, NULL where the value isn't wanted."""
+    return F.when(wanted, F.struct(F.lit(name).alias("table_name"), "obs_id", F.lit(field).alias("field"), F.col(f"{field}_unit").alias("unit"), *extra))
+
+
+def _rows(df: DataFrame, *cases: Column) -> DataFrame:
+    return df.select(F.explode(F.array_compact(F.array(*cases))).alias("case")).select("case.*")
 
 
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every measured value in its common unit, with the unit it was recorded in and how that is known."""
-    clim, hum = _weather(spark, sf_dir), _humidity(spark, sf_dir)
-    parts = [
-        _cases(name, f, df.where(F.col(f"{f}_unit").isNotNull()), {"known_by": F.col(f"{f}_by"), "uncertain": F.col(f"{f}_uncertain"), "common": F.round(f"{f}_nominal", 6)})
-        for name, df, f in (("clim_dataset", clim, "t2m"), ("clim_dataset", clim, "tp"), ("fwi_climatology", hum, "h2m"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def case(name: str, f: str) -> Column:
+        return _case(name, f, F.col(f"{f}_unit").isNotNull(), F.col(f"{f}_by").alias("known_by"), F.col(f"{f}_uncertain").alias("uncertain"), F.round(f"{f}_nominal", 6).alias("common"))
+
+    clim = _rows(_weather(spark, sf_dir), case("clim_dataset", "t2m"), case("clim_dataset", "tp"))
+    return clim.unionByName(_rows(_humidity(spark, sf_dir), case("fwi_climatology", "h2m")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that aren't in the nominal unit of their column, with their unit."""
-    clim, hum = _weather(spark, sf_dir), _humidity(spark, sf_dir)
-    t2m = _cases("clim_dataset", "t2m", clim.where("t2m_unit <> 'K'"))
-    tp = _cases("clim_dataset", "tp", clim.where("tp_unit <> 'm' AND tp <> 0"))
-    h2m = _cases("fwi_climatology", "h2m", hum.where("h2m_unit <> '%' AND h2m <> 0"))
-    return t2m.unionByName(tp).unionByName(h2m)
+    clim = _rows(_weather(spark, sf_dir), _case("clim_dataset", "t2m", F.col("t2m_unit") != "K"), _case("clim_dataset", "tp", (F.col("tp_unit") != "m") & (F.col("tp") != 0)))
+    return clim.unionByName(_rows(_humidity(spark, sf_dir), _case("fwi_climatology", "h2m", (F.col("h2m_unit") != "%") & (F.col("h2m") != 0))))
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
