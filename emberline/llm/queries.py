@@ -12,7 +12,7 @@ from .cf_cluster import chained_clusters, ward_clusters
 from .leakage import leaked_passages
 from .mixing import Mix
 from .percentiles import cumulative, merge_counts, pick, reaches, value_counts
-from .reading import LevelModels, is_hard, reading_levels, seeded, with_measures
+from .reading import LevelModels, is_hard, reading_levels
 
 REACH = 2770 / EARTH_M_SINUSOIDAL
 DAY = REACH / 8  # a day as long as so much of the unit sphere
@@ -116,7 +116,7 @@ def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, sf_dir: str, docs: DataFrame) -> LevelModels:
-    return LevelModels.fit(seeded(docs, "doc_id", "text", table(spark, sf_dir, "reading_labels"), "level_name"), "text", "seed")
+    return LevelModels.fit(docs, "doc_id", "text", table(spark, sf_dir, "reading_labels"), "level_name")
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +128,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English reviews whose text is hard: those the models call so, checked by the formula."""
     docs = _english(spark, sf_dir)
-    level = reading_levels(docs, "doc_id", "text", _models(spark, sf_dir, docs)).where("level = 'hard'").select("doc_id")
-    return with_measures(docs, "text").where(is_hard()).select("doc_id").join(level, "doc_id", "left_semi")
+    return reading_levels(docs, "doc_id", "text", _models(spark, sf_dir, docs)).where((F.col("level") == "hard") & is_hard()).select("doc_id")
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ import os
 import pytest
 
 from emberline.llm import mixing as M
-from emberline.llm.reading import LevelModels, formula_level, is_hard, label_levels, reading_levels, seeded, tokens, with_measures
+from emberline.llm.reading import LevelModels, formula_level, is_hard, label_levels, measures, readable, reading_levels, tokens
 
 pytestmark = pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no tokenizer files")
 
@@ -56,13 +56,15 @@ HARD = "Notwithstanding comprehensive documentation, the organisation's technici
 EASY = "It works well. I like it. My dad has one too. We use it a lot. "
 
 
-def test_measures(spark):
-    texts = {1: HARD * 2, 2: EASY * 5, 3: "", 4: None, 5: "<p>" + HARD + "<br/>" + HARD + "</p> See https://example.invalid/a.b.c", 6: "Approx. speaking this is one sentence, e.g. a short one... and more", 7: "w " * 100_000}
-    df = spark.createDataFrame(list(texts.items()), "id int, text string")
-    got = {r["id"]: r for r in with_measures(df, "text").withColumn("hard", is_hard()).withColumn("level", formula_level()).collect()}
-    assert got[1]["n_sentences"] == 2 and got[1]["hard"] and got[1]["level"] == "hard" and got[2]["n_sentences"] == 20 and got[2]["level"] == "easy"
-    assert got[3]["n_words"] == 0 and got[3]["words_per_sentence"] is None and got[3]["level"] is None and not got[3]["hard"] and got[4]["n_words"] is None
-    assert got[5]["n_words"] == got[1]["n_words"] + 1 and got[5]["hard"] and got[6]["n_sentences"] == 1 and got[7]["n_words"] == 100_000
+def test_measures():
+    hard, easy = measures(readable(HARD * 2)), measures(readable(EASY * 5))
+    assert hard[1] == 2 and formula_level(*hard) == "hard" and easy[1] == 20 and formula_level(*easy) == "easy"
+    assert measures("") == (0, 1, 0) and formula_level(0, 1, 0) is None
+    marked = measures(readable("<p>" + HARD + "<br/>" + HARD + "</p> See https://example.invalid/a.b.c"))
+    assert marked[0] == hard[0] + 1 and formula_level(*marked) == "hard"
+    assert measures("Approx. speaking this is one sentence, e.g. a short one... and more")[1] == 1
+    assert measures('He said "no." Then (approx... five) left.')[1] == 2
+    assert measures("w " * 100_000) == (100_000, 1, 100_000)
 
 
 def test_levels(spark):
@@ -70,9 +72,11 @@ def test_levels(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1, "easy"), (0, 2, " EASY"), (0, 3, "hard"), (1, 1, "HARD"), (1, 2, "middle"), (2, 1, "??"), (None, 1, "hard"), (3, 1, None)], "doc_id long, rater int, level_name string")
     assert {tuple(r) for r in label_levels(labels.where("doc_id IS NOT NULL"), "doc_id", "level_name").collect()} == {(0, "easy"), (1, "hard")}
-    models = LevelModels.fit(seeded(df, "doc_id", "text", labels, "level_name"), "text", "seed")
-    got = {r["doc_id"]: r["level"] for r in reading_levels(df, "doc_id", "text", models).collect()}
+    models = LevelModels.fit(df, "doc_id", "text", labels, "level_name")
+    out = reading_levels(df, "doc_id", "text", models)
+    got = {r["doc_id"]: r["level"] for r in out.collect()}
+    assert {r["doc_id"] for r in out.where(is_hard()).collect()} == {i for i in range(200) if i % 2 and i % 3} | {902}
     assert all(got[i] == ("hard" if i % 2 else "easy") for i in range(200)) and got[900] is None and got[901] is None and got[902] == "hard"
-    untrained = LevelModels.fit(seeded(df.limit(0), "doc_id", "text", labels.limit(0), "level_name"), "text", "seed")
+    untrained = LevelModels.fit(df.limit(0), "doc_id", "text", labels.limit(0), "level_name")
     assert reading_levels(df.limit(0), "doc_id", "text", untrained).collect() == []
-    assert tokens("A <b>B</b> c... https://x.y/z d!") == ["a", "b", "c", ".", "d", "."]
+    assert tokens(readable("A <b>B</b> c... https://x.y/z d!")) == ["a", "b", "c", ".", "d", "."]
