@@ -27,6 +27,8 @@ from .components import component_roots, components
 #: Rows that a box aims at, and rows of the sample that places the cuts.
 BOX_ROWS = 100_000
 SAMPLE_ROWS = 40_000
+#: Rows of the sample at the very same place from which on one of them stands for all.
+HOT_SEEN = 20
 #: Pairs held at once.
 CHUNK = 2_000_000
 
@@ -231,6 +233,22 @@ def _link(dims: int, reach: float):
     return run
 
 
+def _one_per_place(plain: DataFrame, crowded: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows with one for each crowded place, and ``id, first`` of all rows of those places.
+
+    At most some 2,000 places can hold a 2,000th of the sample each, so their
+    list is small whatever the rows; which places are on it changes the load
+    of the tasks, not the result.
+    """
+    spark, coords = plain.sparkSession, [c for c in plain.columns if c != "id"]
+    listed = F.broadcast(spark.createDataFrame([tuple(map(float, p)) for p in crowded], ", ".join(f"{c} double" for c in coords)).withColumn("place", F.monotonically_increasing_id()))
+    inside = plain.join(listed, coords)
+    first = inside.groupBy("place").agg(F.min("id").alias("first"))
+    hot = inside.join(F.broadcast(first), "place")
+    ones = materialize(hot.where("id = first").groupBy(*coords).agg(F.min("id").alias("id")), "places")
+    return plain.join(listed, coords, "left_anti").unionByName(ones.select("id", *coords)), hot.select("id", "first")
+
+
 def boxes_for(rows: int, parallel: int, box_rows: int = BOX_ROWS) -> int:
     return max(1, min(-(-rows // 2_000), max(-(-rows // box_rows), 2 * parallel)))
 
@@ -242,7 +260,8 @@ def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, k
     most ``reach``; a group is everything linked directly or through others.
     Points of a group of one are left out unless ``keep_single``.  Rows with
     a NULL or NaN id or coordinate take no part.  Repeated positions are
-    linked like any others; repeated ids count as one point at each place.
+    linked like any others, and places that hold many of the rows are worked
+    off by one row each; repeated ids count as one point at each place.
     """
     dims = len(coords)
     plain = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(coords)))
@@ -253,10 +272,17 @@ def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, k
     spark = df.sparkSession
     rows = plain.count()
     boxes = boxes_for(rows, spark.sparkContext.defaultParallelism)
+    hot = None
     if boxes > 1:
         share = min(1.0, SAMPLE_ROWS / rows)
         chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-        tree = KdTree.fit(plain.where(chance).drop("id").toPandas().to_numpy(float), boxes, 2 * reach)
+        sample = plain.where(chance).drop("id").toPandas().to_numpy(float)
+        places, seen = np.unique(sample, axis=0, return_counts=True)
+        crowded = places[seen >= max(HOT_SEEN, len(sample) // 2_000)]
+        if len(crowded):
+            plain, hot = _one_per_place(plain, crowded)
+            sample = places
+        tree = KdTree.fit(sample, boxes, 2 * reach)
     else:
         tree = KdTree.fit(np.zeros((0, dims)), 1, reach)
     schema = "box int, flag int, id long, " + ", ".join(f"c{i} double" for i in range(dims))
@@ -266,5 +292,14 @@ def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, k
     seen = local.where("flag > 1 AND NOT alone").select("id", "label")
     edges = seen.groupBy("id").agg(F.min("label").alias("b"), F.collect_set("label").alias("labels")).select(F.explode("labels").alias("a"), "b")
     roots = component_roots(edges)
-    own = local.where("flag IN (1, 3)" + ("" if keep_single else " AND NOT alone"))
-    return own.join(roots, own["label"] == roots["node"], "left").select("id", F.coalesce("root", "label").alias("group"))
+    own = local.where("flag IN (1, 3)" + ("" if keep_single or hot is not None else " AND NOT alone"))
+    out = own.join(roots, own["label"] == roots["node"], "left").select("id", F.coalesce("root", "label").alias("group"), "alone")
+    if hot is None:
+        return out.drop("alone")
+    # rows of a crowded place are in the group of the one that stood for it; it is never alone
+    stood = hot.select("first").distinct()
+    for_all = out.join(F.broadcast(stood), out["id"] == stood["first"])  # as many rows as crowded places
+    rest = out.join(F.broadcast(stood), out["id"] == stood["first"], "left_anti")
+    if not keep_single:
+        rest = rest.where("NOT alone")
+    return rest.select("id", "group").unionByName(hot.join(F.broadcast(for_all.select("first", "group")), "first").select("id", "group"))

@@ -83,3 +83,17 @@ def test_star_rounds_equal_one_task(spark):
     one = {tuple(r) for r in component_roots(df).collect()}
     assert one == {tuple(r) for r in component_roots(df, one_task=0).collect()}
     assert (1060, 1000) in one
+
+
+def test_crowded_places(spark):
+    """A third of all rows at one place, more at another on its own: one row stands for all, the result is whole."""
+    rng = np.random.default_rng(11)
+    p = np.concatenate([rng.uniform(0, 40, (4000, 2)), np.full((2500, 2), 3.0), np.full((900, 2), 99.0), np.full((60, 2), 3.4)])
+    rows = [(int(i), float(a), float(b)) for i, (a, b) in zip(rng.permutation(len(p)), p, strict=True)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(6)
+    order = np.argsort([r[0] for r in rows])
+    want = brute(p[order], 0.3)
+    for keep in (True, False):
+        got = linked_groups(df, "id", ["a", "b"], 0.3, keep_single=keep).collect()
+        size = np.bincount(want, minlength=len(p))
+        assert sorted((r["id"], r["group"]) for r in got) == [(i, int(w)) for i, w in enumerate(want) if keep or size[w] > 1]
