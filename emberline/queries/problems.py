@@ -197,4 +197,18 @@ SQL = {
     "p6_found": f"WITH {_POSITIONS}, {_INSIDE} SELECT row_id, site_id FROM hit",
     "p6_groups": f"""WITH {_POSITIONS}, {_INSIDE} SELECT labs8, count(*) AS n_rows, count(h.row_id) AS n_inside FROM pos LEFT JOIN (SELECT DISTINCT row_id FROM hit) h USING (row_id)
       WHERE labs8 IS NOT NULL AND lon IS NOT NULL GROUP BY labs8 HAVING count(h.row_id) > 0""",
+    "p3_series": f"""WITH {_POSITIONS}, r AS (SELECT CAST(floor((lon - 92.875) / 0.25) AS INTEGER) AS lonind, CAST(floor((lat + 13.125) / 0.25) AS INTEGER) AS latind, datediff('day', DATE '2002-01-01', CAST(date AS DATE)) AS day,
+        epoch(date) - epoch(TIMESTAMP '2002-01-01') AS t, frp FROM pos WHERE lon IS NOT NULL AND NOT isnan(frp) AND NOT isinf(frp) AND frp > 0),
+      d AS (SELECT lonind, latind, day, count(*) AS n, sum(frp) AS total, min(t) AS t0, max(t) AS t1, min(frp) FILTER (rn = 1) AS v0 FROM (SELECT *, row_number() OVER (PARTITION BY lonind, latind, day ORDER BY t, frp) AS rn FROM r) GROUP BY ALL),
+      s AS (SELECT *, lag(t1) OVER w AS pt, lag(day) OVER w AS pd, lead(t0) OVER w AS nt, lead(v0) OVER w AS nv, lead(day) OVER w AS nx FROM d WINDOW w AS (PARTITION BY lonind, latind ORDER BY day)),
+      x AS (SELECT *, unnest(range(day, coalesce(nx, day + 1))) AS dd FROM s)
+      SELECT lonind, latind, CAST(dd AS INTEGER) AS day_since, CASE WHEN dd = day THEN n ELSE 0 END AS n_readings,
+        round(CASE WHEN dd = day THEN total - v0 + v0 * CASE WHEN day - pd <= 10 AND t0 > pt THEN (t0 - greatest(pt, day * 86400.0)) / (t0 - pt) ELSE 1 END ELSE 0 END
+          + CASE WHEN nx - day <= 10 AND nt > t1 THEN nv * greatest(0, least(nt, (dd + 1) * 86400.0) - greatest(t1, dd * 86400.0)) / (nt - t1) ELSE 0 END, 3) AS frp_amount,
+        CASE WHEN dd = day THEN 'reading' WHEN nx - day <= 10 THEN 'filled' ELSE 'uncovered' END AS status FROM x""",
+    "p4_values": f"""WITH {_UNITS}, every AS (
+        SELECT 'clim_dataset' AS table_name, obs_id, 't2m' AS field, coalesce(t_said, t_feed, CASE WHEN t2m < 50 THEN 'C' WHEN t2m < 150 THEN 'F' ELSE 'K' END) AS unit, CASE WHEN t_said IS NOT NULL THEN 'remark' WHEN t_feed IS NOT NULL THEN 'source' ELSE 'value' END AS known_by, t2m AS v FROM j WHERE NOT isnan(t2m) AND t2m > -300
+        UNION ALL SELECT 'clim_dataset', obs_id, 'tp', coalesce(p_said, p_feed), CASE WHEN p_said IS NOT NULL THEN 'remark' ELSE 'source' END, tp FROM j WHERE NOT isnan(tp) AND tp >= 0
+        UNION ALL SELECT table_name, c.obs_id, field, unit, CASE WHEN regexp_matches(m, 'fraction|0\\.\\.1|share of one|pecahan|ratio not|x10|by ten|tenths|per mille') THEN 'remark' ELSE 'value' END, h2m FROM case_ c JOIN h ON c.obs_id = h.obs_id WHERE field = 'h2m')
+      SELECT table_name, obs_id, field, unit, known_by, false AS uncertain, round(CASE unit WHEN 'C' THEN v + 273.15 WHEN 'F' THEN (v + 459.67) * (5.0 / 9) WHEN 'mm' THEN v * 0.001 WHEN 'in' THEN v * 0.0254 WHEN 'fraction' THEN v * 100 WHEN 'tenths' THEN v * 0.1 ELSE v END, 6) AS common FROM every""",
 }
