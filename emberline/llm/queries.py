@@ -160,4 +160,8 @@ SQL = {
     "p5_found": f"""WITH {_COUNTED}, q AS (SELECT limit_id, lonind, latind, limit_value, min(value) AS value FROM r JOIN pct_limits p ON r.field = p.field WHERE k * 100 >= p.pct * n GROUP BY ALL)
       SELECT limit_id, lonind, latind FROM q WHERE value >= limit_value""",
     "p5_percentiles": f"""WITH {_COUNTED} SELECT field, lonind, latind, pct, min(value) AS value, n FROM r, (SELECT unnest([50, 75, 90, 99]) AS pct) WHERE k * 100 >= pct * n GROUP BY field, lonind, latind, pct, n""",
+    "p9_found": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g'), '(?i)<[^<>]*>|(?:https?://|www\.)\S+|&#?\w{1,10};', ' ', 'g') AS c
+        FROM documents WHERE regexp_extract(lower(trim(lang)), '^([a-z]+)', 1) IN ('en', 'eng', 'english') AND text IS NOT NULL),
+      m AS (SELECT doc_id, len(regexp_extract_all(c, '[\pL\pN]+(?:[''’\-‐‑][\pL\pN]+)*')) AS w, greatest(1, len(regexp_extract_all(regexp_replace(c, '(?i)\bapprox\.+', 'approx ', 'g'), '[.!?…]+["”’)\]]*(?:\s|$)'))) AS s, length(regexp_replace(c, '[^\pL]', '', 'g')) AS n FROM t)
+      SELECT doc_id FROM m WHERE w >= 40 AND w > 18 * s AND n > 5.6 * w""",
 }
