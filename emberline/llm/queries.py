@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import current_rows, day_index, usable
@@ -38,9 +38,11 @@ def p2_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     centre = found.groupBy("cluster_row_id").agg(F.count("*").alias("size"), *(F.avg(c).alias(f"m_{c}") for c in cols))
     far = sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in cols), F.lit(0.0))
     near = found.join(centre, "cluster_row_id").select("cluster_row_id", "size", F.round(F.sqrt(far) / REACH, 6).alias("off"), "row_id")
-    # three least of a group as three partial minima, so that no group is gathered in one task
-    out = near.groupBy("cluster_row_id", "size").agg(F.min_by("row_id", F.struct("off", "row_id")).alias("typical_row_id"), F.round(F.max("off"), 4).alias("reach_of_fire"))
-    return out.select("cluster_row_id", "size", "typical_row_id", "reach_of_fire")
+    # the rank is limited in each map task, before the shuffle: no fire is gathered in one task
+    rank = F.row_number().over(Window.partitionBy("cluster_row_id").orderBy("off", "row_id"))
+    best = near.withColumn("rank", rank).where("rank <= 3")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda m: m["row_id"])
+    return best.groupBy("cluster_row_id", "size").agg(ordered.alias("typical"))
 
 
 def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
