@@ -276,7 +276,7 @@ def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, k
     if boxes > 1:
         share = min(1.0, SAMPLE_ROWS / rows)
         chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-        sample = plain.where(chance).drop("id").toPandas().to_numpy(float)
+        sample = plain.where(chance).drop("id").toArrow().to_pandas().to_numpy(float)
         places, seen = np.unique(sample, axis=0, return_counts=True)
         crowded = places[seen >= max(HOT_SEEN, len(sample) // 2_000)]
         if len(crowded):

@@ -239,13 +239,13 @@ def _join(points: DataFrame, regions: DataFrame, rows: int) -> DataFrame:
     spark = points.sparkSession
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     chance = F.pmod(F.xxhash64("pid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    sample = points.where(chance).select("lon", "lat").toPandas().to_numpy(float)
+    sample = points.where(chance).select("lon", "lat").toArrow().to_pandas().to_numpy(float)
     parts = max(spark.sparkContext.defaultParallelism, -(-rows // LEAF_ROWS))
     tree = Quadtree.fit(sample[:, 0], sample[:, 1], min(MOST_LEAVES, 4 * parts + 1), 1 / parts)
     offset = np.concatenate([[0], np.cumsum(tree.salts)]).astype(int)
     leaf_of_part = np.repeat(np.arange(len(tree.salts)), tree.salts)
     spread = regions.mapInPandas(_replicate(tree, offset), "part int, " + REGION)
-    used = spread.select("part").distinct().toPandas()["part"].to_numpy()  # at most the number of leaves
+    used = spread.select("part").distinct().toArrow().to_pandas()["part"].to_numpy()  # at most the number of leaves
     wanted = np.zeros(len(tree.salts), bool)
     wanted[leaf_of_part[used]] = True
     placed = points.mapInPandas(_with_leaf(tree, wanted, offset[:-1]), "part int, pid long, lon double, lat double")
