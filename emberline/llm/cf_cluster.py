@@ -170,7 +170,7 @@ def fit_centres(df: DataFrame, features: Sequence[str], clusters: int, most_leav
     while trees > 1:
         trees = -(-trees // REDUCE_BY)
         leaves = leaves.groupBy(F.floor(F.col("grp") / REDUCE_BY).alias("grp")).applyInPandas(_fold(dims, most_leaves), _schema(dims))
-    found = leaves.orderBy(*(f"k{j}" for j in range(dims))).toPandas()
+    found = leaves.orderBy(*(f"k{j}" for j in range(dims))).toArrow().to_pandas()
     if not len(found):
         return np.zeros((0, dims))
     cf = found[[f"f{j}" for j in range(2 * dims + 1)]].to_numpy(float)
