@@ -4,14 +4,17 @@ A cluster feature (CF) is ``n``, the sum and the sum of squares of a set of
 rows; two of them add up to the CF of both sets.  The CF tree here is a dyadic
 one: a node of level ``l`` is a cube of side ``2^l``, its parent the cube of
 side ``2^(l+1)`` around it.  So trees of different partitions have the same
-nodes and merge exactly by adding CFs of equal keys, in any order, and a tree
-that has too many leaves is made coarser by one level.
+nodes and merge exactly by adding CFs of equal keys.  ``CfTree`` has one level
+for all leaves; ``MixedTree`` has a level for each: where it has too many
+leaves, only the lightest (rows x side^2, what a leaf can add to the variance)
+go up to their parents, so a hot place stays finely divided however many rows
+lie elsewhere.
 
 Two ways to agglomerate the leaves:
 
 ``ward_clusters``
-    partial trees per partition, merged by a tree of reductions into at most
-    ``most_leaves`` leaves; Ward's method over the leaves; one pass that
+    partial mixed trees per partition, merged by a tree of reductions into at
+    most ``most_leaves`` leaves; Ward's method over the leaves; one pass that
     assigns every row to its nearest centroid and keeps the members nearest to
     each centroid.
 ``chained_clusters``
@@ -31,9 +34,13 @@ from pyspark.sql import functions as F
 
 from ..operators.linking import linked_groups
 
-MOST_LEAVES = 2_000
+#: Leaves that Ward's method sees (well above clusters x 2^dims: 200 x 16), and how many times as many the trees before hold.
+MOST_LEAVES = 8_192
+FINER = 4
+#: Points gathered before they are worked into a tree.
+HELD = 100_000
 REDUCE_BY = 8
-FINEST = -60
+FINEST, COARSEST = -60, 1_100
 
 
 class CfTree:
@@ -84,6 +91,50 @@ class CfTree:
         return pd.DataFrame(out | {f"f{j}": self.cf[:, j] for j in range(self.cf.shape[1])})
 
 
+class MixedTree:
+    """Leaves of a dyadic CF tree, each with its own level."""
+
+    def __init__(self, dims: int, most: int):
+        self.dims, self.most = dims, most
+        self.levels, self.keys, self.cf = np.zeros(0, np.int64), np.zeros((0, dims), np.int64), np.zeros((0, 2 * dims + 1))
+
+    def _add_up(self) -> None:
+        at = pd.DataFrame(np.column_stack([self.levels, self.keys])).groupby(list(range(self.dims + 1)), sort=True).ngroup().to_numpy()
+        first = np.unique(at, return_index=True)[1]
+        self.levels, self.keys = self.levels[first], self.keys[first]
+        self.cf = np.stack([np.bincount(at, self.cf[:, j], len(first)) for j in range(self.cf.shape[1])], axis=1)
+
+    def _fit(self) -> None:
+        self._add_up()
+        # the lightest go up to their parents; one that is its own parent's only child just gets a coarser key
+        while (over := len(self.keys) - self.most) > 0 and self.levels.min() < COARSEST:
+            load = np.where(self.levels < COARSEST, np.log2(self.cf[:, 0]) + 2.0 * self.levels, np.inf)
+            # few at a time, never more than the lightest half; ties go along, so it doesn't depend on the order of leaves
+            k = min(max(over, len(load) // 16), len(load) // 2)
+            up = (load <= np.partition(load, k)[k]) & (load < np.inf)
+            self.levels, self.keys = self.levels + up, np.where(up[:, None], self.keys >> 1, self.keys)
+            self._add_up()
+
+    def add_points(self, points: np.ndarray) -> None:
+        if not len(points):
+            return
+        # no key beyond an int64, and 20 levels below the extent of these points
+        level = max(FINEST, int(np.ceil(np.log2(max(np.abs(points).max(), 1e-300)))) - 40)
+        if (wide := np.ptp(points, axis=0).max()) > 0:
+            level = max(level, int(np.floor(np.log2(wide))) - 20)
+        keys = np.floor(points / 2.0**level).astype(np.int64)
+        self.add_leaves(np.full(len(points), level), keys, np.column_stack([np.ones(len(points)), points, points**2]))
+
+    def add_leaves(self, levels: np.ndarray, keys: np.ndarray, cf: np.ndarray) -> None:
+        self.levels, self.keys, self.cf = np.concatenate([self.levels, levels]), np.concatenate([self.keys, keys]), np.concatenate([self.cf, cf])
+        self._fit()
+
+    def frame(self, group: int) -> pd.DataFrame:
+        out = {"grp": np.full(len(self.keys), group, "int64"), "level": self.levels.astype("int32")}
+        out |= {f"k{j}": self.keys[:, j] for j in range(self.dims)}
+        return pd.DataFrame(out | {f"f{j}": self.cf[:, j] for j in range(self.cf.shape[1])})
+
+
 def _schema(dims: int) -> str:
     return "grp long, level int, " + ", ".join(f"k{j} long" for j in range(dims)) + ", " + ", ".join(f"f{j} double" for j in range(2 * dims + 1))
 
@@ -92,9 +143,14 @@ def _grow(dims: int, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tree = CfTree(dims, most)
+        tree, held, rows = MixedTree(dims, most), [], 0
         for b in batches:
-            tree.add_points(b[[f"c{j}" for j in range(dims)]].to_numpy(float))
+            held.append(b[[f"c{j}" for j in range(dims)]].to_numpy(float))
+            if (rows := rows + len(b)) >= HELD:
+                tree.add_points(np.concatenate(held))
+                held, rows = [], 0
+        if held:
+            tree.add_points(np.concatenate(held))
         if len(tree.keys):
             yield tree.frame(TaskContext.get().partitionId())
 
@@ -103,9 +159,8 @@ def _grow(dims: int, most: int):
 
 def _fold(dims: int, most: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = CfTree(dims, most)
-        for level, part in rows.groupby("level", sort=False):
-            tree.add_leaves(int(level), part[[f"k{j}" for j in range(dims)]].to_numpy(np.int64), part[[f"f{j}" for j in range(2 * dims + 1)]].to_numpy(float))
+        tree = MixedTree(dims, most)
+        tree.add_leaves(*(rows[c].to_numpy(t) for c, t in (("level", np.int64), ([f"k{j}" for j in range(dims)], np.int64), ([f"f{j}" for j in range(2 * dims + 1)], float))))
         return tree.frame(int(key[0]))
 
     return run
@@ -114,14 +169,15 @@ def _fold(dims: int, most: int):
 def ward(cf: np.ndarray, dims: int, clusters: int) -> np.ndarray:
     """Ward's method over CFs: cluster index of each leaf.  Chains of nearest neighbours, O(leaves^2)."""
     n = len(cf)
-    weight, centre = cf[:, 0].copy(), cf[:, 1 : dims + 1] / cf[:, :1]
+    weight, centre = cf[:, 0].copy(), np.ascontiguousarray((cf[:, 1 : dims + 1] / cf[:, :1]).T)
     alive, merges, chain = np.ones(n, bool), [], []
     for _ in range(n - 1):
         while True:
             if not chain:
                 chain = [int(np.argmax(alive))]
             i = chain[-1]
-            cost = weight * weight[i] / (weight + weight[i]) * ((centre - centre[i]) ** 2).sum(axis=1)
+            off = centre - centre[:, i : i + 1]
+            cost = weight * weight[i] / (weight + weight[i]) * np.einsum("dn,dn->n", off, off)
             cost[~alive] = np.inf
             cost[i] = np.inf
             j = int(np.argmin(cost))
@@ -132,7 +188,7 @@ def ward(cf: np.ndarray, dims: int, clusters: int) -> np.ndarray:
         merges.append((float(cost[j]), i, j))
         chain = chain[:-2]
         a, b = min(i, j), max(i, j)
-        centre[a] = (centre[a] * weight[a] + centre[b] * weight[b]) / (weight[a] + weight[b])
+        centre[:, a] = (centre[:, a] * weight[a] + centre[:, b] * weight[b]) / (weight[a] + weight[b])
         weight[a] += weight[b]
         alive[b] = False
     parent = np.arange(n)
@@ -165,12 +221,14 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 def fit_centres(df: DataFrame, features: Sequence[str], clusters: int, most_leaves: int = MOST_LEAVES) -> np.ndarray:
     """Centroids of at most ``clusters`` clusters; at most ``most_leaves`` leaves reach the driver."""
     dims = len(features)
-    leaves = df.select(*(F.col(c).alias(f"c{j}") for j, c in enumerate(features))).mapInPandas(_grow(dims, most_leaves), _schema(dims))
+    leaves = df.select(*(F.col(c).alias(f"c{j}") for j, c in enumerate(features))).mapInPandas(_grow(dims, FINER * most_leaves), _schema(dims))
     trees = max(1, df.rdd.getNumPartitions())
-    while trees > 1:
+    while True:
         trees = -(-trees // REDUCE_BY)
-        leaves = leaves.groupBy(F.floor(F.col("grp") / REDUCE_BY).alias("grp")).applyInPandas(_fold(dims, most_leaves), _schema(dims))
-    found = leaves.orderBy(*(f"k{j}" for j in range(dims))).toArrow().to_pandas()
+        leaves = leaves.groupBy(F.floor(F.col("grp") / REDUCE_BY).alias("grp")).applyInPandas(_fold(dims, most_leaves * (FINER if trees > 1 else 1)), _schema(dims))
+        if trees == 1:
+            break
+    found = leaves.orderBy("level", *(f"k{j}" for j in range(dims))).toArrow().to_pandas()
     if not len(found):
         return np.zeros((0, dims))
     cf = found[[f"f{j}" for j in range(2 * dims + 1)]].to_numpy(float)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from emberline.llm.cf_cluster import CfTree, chained_clusters, nearest, ward, ward_assignment, ward_clusters
+from emberline.llm.cf_cluster import CfTree, MixedTree, chained_clusters, nearest, ward, ward_assignment, ward_clusters
 from emberline.llm.percentiles import cumulative, merge_counts, percentiles, pick, value_counts
 
 
@@ -99,3 +99,18 @@ def test_percentiles(spark):
     near = {(r["g"], r["pct"]): r["value"] for r in percentiles(df, ["g"], "v", ps, relative_error=0.01).collect()}
     assert all(abs(near[k] - v) <= 0.01 * abs(v) + 1e-12 for k, (v, _) in got.items())
     assert percentiles(df.limit(0), ["g"], "v", ps).collect() == []
+
+
+def test_hot_place_is_divided(spark):
+    rng = np.random.default_rng(4)
+    hot = np.array([[30.0, 40.0], [50.0, 40.0]])  # in one cube of side 64, which 256 leaves of one level can't divide
+    p = np.concatenate([rng.uniform(0, 1000, (3000, 2)), hot[np.repeat([0, 1], 1500)] + rng.normal(0, 0.5, (3000, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "id long, a double, b double").repartition(5)
+    got = {r["id"]: r["cluster"] for r in ward_assignment(df, "id", ["a", "b"], 60, most_leaves=256).collect()}
+    one, two = ({got[i] for i in range(lo, lo + 1500)} for lo in (3000, 4500))
+    assert not one & two
+    tree = MixedTree(2, 256)
+    for k in range(0, 6000, 1000):
+        tree.add_points(p[k : k + 1000])
+    assert len(tree.keys) <= 256 and np.ptp(tree.levels) >= 3
+    assert np.allclose(tree.cf.sum(axis=0), [6000, *p.sum(axis=0), *(p**2).sum(axis=0)])
