@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
@@ -41,6 +41,25 @@ def dense_counts(df: DataFrame, keys: Sequence[str], period: str, periods: Colum
     return cells.join(n, [*keys, period], "left").fillna(0, ["n"])
 
 
+def dense_daily(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    """Counts of each cell on every day from the first to the last of all, 0 where none.
+
+    Each day with rows brings the empty days before it, a cell's last one also
+    those after it; only the days with rows are shuffled, not the cube.  Rows
+    without a day count for no day, but their cells are in the cube.
+    """
+    n = counts(df.withColumn(day, F.col(day).cast("date")), [*keys, day])
+    ends = df.agg(F.min(F.col(day).cast("date")).alias("low__"), F.max(F.col(day).cast("date")).alias("high__"))
+    own = Window.partitionBy(*keys)
+    by_day = own.orderBy(F.asc_nulls_last(day))
+    dated = n.withColumn("days__", F.count(day).over(own)).where(F.col(day).isNotNull() | (F.col("days__") == 0))
+    near = dated.withColumns({"before__": F.lag(day).over(by_day), "last__": F.lead(day).over(by_day).isNull()})
+    start = F.coalesce(F.date_add("before__", 1), F.col("low__"))
+    every = F.explode(F.sequence(start, F.when(F.col("last__"), F.col("high__")).otherwise(F.col(day))))
+    out = near.join(F.broadcast(ends)).where("low__ IS NOT NULL").withColumn("day__", every)  # one row
+    return out.select(*keys, F.col("day__").alias(day), F.when(F.col("day__") == F.col(day), F.col("n")).otherwise(0).alias("n"))
+
+
 def bilinear(points: DataFrame, grid_values: DataFrame, x: str, y: str, value: str, x0: float, y0: float, step: float, gx: str, gy: str) -> DataFrame:
     """Values of a regular grid at points, linear in x and y.
 

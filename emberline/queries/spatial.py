@@ -75,12 +75,18 @@ def grid_monthly_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
   e AS (SELECT * FROM (SELECT DISTINCT i, j FROM d), (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM b))
   SELECT CAST(i AS INT) AS lonind, CAST(j AS INT) AS latind, day, coalesce(n, 0) AS n FROM e LEFT JOIN d USING (i, j, day)""")
 def grid_daily_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense daily count cube over all days, in blocks of 10 x 10 cells."""
+    """The dense daily count cube over all days, in blocks of 10 x 10 cells; of the cells: ``grid_daily_cells``."""
     d = detections(spark, sf_dir).select(*(F.floor(F.col(c) / 10).cast("int").alias(c) for c in CELL), "day")
     low, high = d.agg(F.min("day"), F.max("day")).first()
     return G.dense_counts(d, CELL, "day", F.sequence(F.lit(low).cast("date"), F.lit(high).cast("date")))
 
 
+@query()
+def grid_daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense daily count cube: every cell with a detection, all days."""
+    return G.dense_daily(detections(spark, sf_dir).select(*CELL, "day"), CELL, "day")
+
+
 @query(f"""{_DET}, s AS (SELECT *, CASE WHEN labs8 IS NOT NULL THEN datediff('day', min(CAST(date AS DATE)) OVER (PARTITION BY labs8), max(CAST(date AS DATE)) OVER (PARTITION BY labs8)) + 1 END AS dur, CASE WHEN labs8 IS NOT NULL THEN count(*) OVER (PARTITION BY labs8) END AS size FROM det)
   SELECT lonind, latind, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, count(*) AS frp, nullif(count(*) FILTER (daynight = 'D'), 0) AS frpD, nullif(count(*) FILTER (daynight = 'N'), 0) AS frpN, median(dur) AS duration, median(size) AS fsize FROM s GROUP BY ALL""")
 def grid_daynight_features(spark: SparkSession, sf_dir: str) -> DataFrame:

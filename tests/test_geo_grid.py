@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import pytest
@@ -68,3 +69,26 @@ def test_bilinear_needs_all_nodes(spark):
 def test_dense_counts_of_nothing(spark):
     d = spark.createDataFrame([], "lonind int, latind int, m int")
     assert G.dense_counts(d, ["lonind", "latind"], "m", F.sequence(F.lit(1), F.lit(3))).collect() == []
+
+
+def test_dense_daily(spark, sf_dir):
+    from emberline.operators.gridding import dense_daily
+
+    d = lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    rows = [(1, d(3)), (1, d(3)), (1, d(6)), (2, d(0)), (3, d(9)), (3, None), (4, None), (None, d(5))]
+    got = {(r["c"], r["day"]): r["n"] for r in dense_daily(spark.createDataFrame(rows, "c int, day date"), ["c"], "day").collect()}
+    assert got == {(c, d(k)): rows.count((c, d(k))) for c in (1, 2, 3, 4, None) for k in range(10)}
+    assert dense_daily(spark.createDataFrame([], "c int, day date"), ["c"], "day").collect() == []
+
+
+def test_daily_cube_has_every_cell(spark, sf_dir):
+    from collections import Counter
+
+    from emberline.queries import spatial
+
+    rows = [tuple(r) for r in spatial.detections(spark, sf_dir).select("lonind", "latind", "day").collect()]
+    n, cells = Counter(rows), {r[:2] for r in rows}
+    low, high = min(r[2] for r in rows), max(r[2] for r in rows)
+    out = spatial.QUERIES["grid_daily_cells"](spark, sf_dir).collect()
+    assert len(out) == len(cells) * ((high - low).days + 1) == len({tuple(r)[:3] for r in out})
+    assert {tuple(r)[:3]: r["n"] for r in out if r["n"]} == n
