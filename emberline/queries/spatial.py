@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import finite
-from ..functions.geo import NAMED_BOXES, BBox, Grid, cell_area_km2, haversine_km, position_degrees, tile_lonlat, tile_of, unit_xyz
+from ..functions.geo import NAMED_BOXES, BBox, Grid, cell_area_km2, haversine_km, position_degrees, position_xyz, tile_lonlat, tile_of, unit_xyz
 from ..operators import fires as C
 from ..operators import gridding as G
 from ..operators.linking import linked_groups
@@ -18,6 +18,7 @@ from .tables import table
 CELL = ["lonind", "latind"]
 GRID = Grid(NAMED_BOXES["indonesia"], 0.25)
 LONE_KM = 20.0  # less than a step of the test points: only repeated places are linked
+NEAR_KM = 0.8  # reach of the detections' clusters
 QUERIES, SQL = {}, {}
 
 
@@ -220,7 +221,7 @@ _DBSCAN = f"""WITH RECURSIVE vfp AS ({VIEWS["v_fire_points"]}), place AS (SELECT
 
 @query(_DBSCAN)
 def dbscan_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters by great-circle distance with two points at least; lone points are -1."""
+    """Clusters of the event points' equal places (the reach is below their step); lone points are -1.  C1: ``dbscan_detections``."""
     import math
 
     # great-circle distance <= d  <=>  chord <= 2 sin(d / 2R)
@@ -231,6 +232,18 @@ def dbscan_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("row_id").join(g, p["row_id"] == g["id"], "left").select("row_id", F.coalesce("group", F.lit(-1)).alias("label"))
 
 
+@query()
+def dbscan_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the detections by great-circle distance, two points at least; the least row_id is the label, lone ones are -1."""
+    import math
+
+    chord = 2 * math.sin(NEAR_KM / 6371.0 / 2)
+    x, y, z = position_xyz()
+    p = table(spark, sf_dir, "firedata").select("row_id", x.alias("x"), y.alias("y"), z.alias("z")).where("x IS NOT NULL")
+    g = linked_groups(p, "row_id", ["x", "y", "z"], chord).select(F.col("id").alias("row_id"), "group")
+    return p.select("row_id").join(g, "row_id", "left").select("row_id", F.coalesce("group", F.lit(-1)).alias("label"))
+
+
 @query("""WITH g AS (SELECT CAST(floor((longitude - 95) / 2) AS INT) AS i, CAST(floor((latitude + 10) / 2) AS INT) AS j, avg(frp) AS v FROM v_fire_points GROUP BY ALL),
   p AS (SELECT p_partkey, 95 + (p_partkey % 880) / 20.0 AS x, -10 + (p_partkey % 310) / 20.0 AS y FROM part),
   c AS (SELECT p.*, floor((x - 95) / 2) + a AS ci, floor((y + 10) / 2) + b AS cj, (CASE WHEN a = 1 THEN (x - 95) / 2 - floor((x - 95) / 2) ELSE 1 - ((x - 95) / 2 - floor((x - 95) / 2)) END) * (CASE WHEN b = 1 THEN (y + 10) / 2 - floor((y + 10) / 2) ELSE 1 - ((y + 10) / 2 - floor((y + 10) / 2)) END) AS w

@@ -97,3 +97,22 @@ def test_crowded_places(spark):
         got = linked_groups(df, "id", ["a", "b"], 0.3, keep_single=keep).collect()
         size = np.bincount(want, minlength=len(p))
         assert sorted((r["id"], r["group"]) for r in got) == [(i, int(w)) for i, w in enumerate(want) if keep or size[w] > 1]
+
+
+def test_dbscan_of_detections_links_different_places(spark, sf_dir):
+    from emberline.functions.geo import position_degrees
+    from emberline.queries import spatial
+    from emberline.queries.tables import table
+
+    lon, lat = position_degrees()
+    d = table(spark, sf_dir, "firedata").select("row_id", lon.alias("lon"), lat.alias("lat")).where("lon IS NOT NULL").toPandas().sort_values("row_id")
+    ids, a, b = d["row_id"].to_numpy(), np.radians(d["lon"].to_numpy()), np.radians(d["lat"].to_numpy())
+    h = np.sin((b[:, None] - b) / 2) ** 2 + np.cos(b[:, None]) * np.cos(b) * np.sin((a[:, None] - a) / 2) ** 2
+    near = 2 * 6371.0 * np.arcsin(np.sqrt(h)) <= 0.8
+    lab = np.arange(len(d))
+    while (new := np.array([lab[row].min() for row in near])).tolist() != lab.tolist():
+        lab = new
+    want = {(int(i), int(ids[k]) if row.sum() > 1 else -1) for i, k, row in zip(ids, lab, near, strict=True)}
+    assert {tuple(r) for r in spatial.QUERIES["dbscan_detections"](spark, sf_dir).collect()} == want
+    # places that differ are linked
+    assert (near & (h > 1e-15)).any()
