@@ -64,20 +64,59 @@ def leave_one_out(df: DataFrame, features: Sequence[str], label: str, group: str
     return out if out is not None else d.withColumn("prob", F.lit(None).cast("double"))
 
 
+def _two_lines(n, sx, sy, sxx, sxy, syy):
+    """Intercept, slope and squared error of the line through the points of these sums."""
+    vx, cxy, vy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
+    slope = cxy / vx
+    return (sy - slope * sx) / n, slope, np.maximum(0.0, vy - slope * cxy)
+
+
 def two_segments(x: np.ndarray, y: np.ndarray, least: int = 3) -> tuple[float, float, float, float]:
-    """Break, slopes before and after, r2 of the best continuous two-segment line; breaks are tried at quantiles of x."""
+    """Break, slopes before and after, r2 of the best continuous two-segment line over all breaks within the range of x.
+
+    Within a gap of neighbouring x the squared error is least where the lines
+    through the points before and after cross, or else at an end of the gap
+    (Hudson 1966).  So the crossings and the x are all that can be the break;
+    running sums give the error of each.  Of equally good breaks the least counts.
+    """
     ok = np.isfinite(x) & np.isfinite(y)
     x, y = x[ok], y[ok]
-    if len(np.unique(x)) < 2 * least:
+    at, of = np.unique(x, return_inverse=True)
+    if len(at) < 2 * least:
         return (np.nan,) * 4
+    # centred and scaled, so that the sums keep their digits
+    mid, scale, level = x.mean(), np.ptp(x), y.mean()
+    u, v, w = (at - mid) / scale, (x - mid) / scale, y - level
+    before = [np.cumsum(np.bincount(of, s, len(at))) for s in (np.ones(len(v)), v, w, v * v, v * w, w * w)]
+    total = float((w * w).sum())
+    # breaks at an x: one least-squares fit of 1, x and max(0, x - break) each
+    b = u[1:-1]
+    n, sx, sy, sxx, sxy, _ = (s[-1] for s in before)
+    rn, rx, ry, rxx, rxy, _ = (s[-1] - s[1:-1] for s in before)
+    h, hx, hh, hy = rx - b * rn, rxx - b * rx, rxx - 2 * b * rx + b * b * rn, rxy - b * ry
+    size = np.sqrt(hh)
+    h, hx, hy = h / size, hx / size, hy / size
+    one = np.ones_like(b)
+    m = np.stack([n * one, sx * one, h, sx * one, sxx * one, hx, h, hx, one], axis=1).reshape(-1, 3, 3)
+    rhs = np.stack([sy * one, sxy * one, hy], axis=1)
+    coef = np.linalg.solve(m, rhs[:, :, None])[:, :, 0]
+    breaks, errors = [b], [total - (coef * rhs).sum(axis=1)]
+    # breaks within a gap: two places at least on each side
+    left = [s[1:-2] for s in before]
+    a1, s1, e1 = _two_lines(*left)
+    a2, s2, e2 = _two_lines(*(s[-1] - p for s, p in zip(before, left, strict=True)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (a1 - a2) / (s2 - s1)
+    inside = (cross > u[1:-2]) & (cross < u[2:-1])
+    breaks, errors = np.concatenate([*breaks, cross[inside]]), np.concatenate([*errors, (e1 + e2)[inside]])
+    # the few best again from the points themselves: the sums lose digits where a fit is all but perfect
     best = None
-    for b in np.unique(np.quantile(x, np.linspace(0.05, 0.95, 37))):
-        a = np.column_stack([np.ones_like(x), x, np.maximum(0.0, x - b)])
-        coef = np.linalg.lstsq(a, y, rcond=None)[0]
-        sse = float(((y - a @ coef) ** 2).sum())
+    for k in sorted(np.argsort(errors, kind="stable")[:8], key=lambda i: breaks[i]):
+        a = np.column_stack([np.ones_like(v), v, np.maximum(0.0, v - breaks[k])])
+        coef = np.linalg.lstsq(a, w, rcond=None)[0]
+        sse = float(((w - a @ coef) ** 2).sum())
         if best is None or sse < best[0]:
-            best = (sse, float(b), float(coef[1]), float(coef[1] + coef[2]))
-    total = float(((y - y.mean()) ** 2).sum())
+            best = (sse, float(breaks[k] * scale + mid), float(coef[1] / scale), float((coef[1] + coef[2]) / scale))
     return best[1], best[2], best[3], 1.0 - best[0] / total if total > 0 else np.nan
 
 

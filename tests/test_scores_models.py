@@ -62,3 +62,23 @@ def test_models_learn(spark, kind):
     p = M.leave_one_out(df, ["a", "b"], "label", "year", kind)
     got = S.scores(p, [], "label", "prob").first()
     assert got["n"] == 400 and got["auc"] > 0.9
+
+
+def test_two_segments_finds_the_best_break():
+    def error(x, y, b):
+        a = np.column_stack([np.ones_like(x), x, np.maximum(0.0, x - b)])
+        return ((y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) ** 2).sum()
+
+    rng = np.random.default_rng(5)
+    for k in range(12):
+        x = rng.integers(0, 60, 80).astype(float) + 9000 if k % 2 else np.sort(rng.uniform(-1, 1, 50))
+        y = rng.normal(0, 1, len(x)) + 0.1 * k * np.abs(x - np.median(x))
+        b, _, _, r2 = M.two_segments(x, y)
+        least = min(error(x, y, t) for t in np.concatenate([np.linspace(x.min(), x.max(), 3001)[1:-1], np.unique(x)[1:-1]]))
+        found = (1 - r2) * ((y - y.mean()) ** 2).sum()
+        assert found <= least * (1 + 1e-9) and abs(error(x, y, b) - found) <= 1e-6 * found
+    # a break in the first twentieth, and between two x of a long series
+    x = np.arange(2300.0)
+    for at in (40.3, 1001.5, 2280.25):
+        b, s1, s2, r2 = M.two_segments(x, np.where(x < at, 5 * x, 5 * at - 2 * (x - at)))
+        assert abs(b - at) < 1e-6 and abs(s1 - 5) < 1e-6 and abs(s2 + 2) < 1e-6 and r2 > 1 - 1e-9
