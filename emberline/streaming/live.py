@@ -1,28 +1,74 @@
-"""The same operators over streams."""
+"""The same operators over streams.
+
+``fire_counts`` and ``without_repeats`` keep state as long as their watermark
+and lose what comes later.  Where a source's delay isn't bounded, ``counts_to``
+and ``firsts_to`` write what each micro-batch adds to a table and a batch run
+merges it (``merged_counts``, ``merged_firsts``): no row is too late for them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fwi import CODES, START, Codes, day_factors, step
 
 
 def fire_counts(events: DataFrame, time: str, keys: Sequence[str], window: str = "1 day", late: str = "14 days") -> DataFrame:
-    """Detections per window and key; rows later than ``late`` are left out, windows close after it."""
+    """Detections per window and key; windows close after ``late`` and lose later rows: give it the source's longest delay, or use ``counts_to``."""
     return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
 def without_repeats(events: DataFrame, time: str, keys: Sequence[str], late: str = "14 days") -> DataFrame:
-    """Each key once within the watermark."""
+    """Each key once within the watermark; rows later than ``late`` are lost: give it the source's longest delay, or use ``firsts_to``."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _advance(mode: str, lat: float):
+_LATE = {"late": "boolean", "t": "double", "h": "double", "w": "double", "rain": "double"}
+
+
+def _parts_to(events: DataFrame, work: Callable[[DataFrame], DataFrame], at: str):
+    def put(batch: DataFrame, k: int) -> None:
+        # a batch that is run again replaces its part
+        work(batch).write.mode("overwrite").parquet(f"{at}/part__={k}")
+
+    return events.writeStream.foreachBatch(put)
+
+
+def counts_to(events: DataFrame, time: str, keys: Sequence[str], at: str, window: str = "1 day"):
+    """A stream writer that adds each micro-batch's counts to the table ``at``, however late its rows are.
+
+    The caller gives it a checkpoint and starts it; table and checkpoint belong together.
+    """
+    return _parts_to(events, lambda b: b.groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n"), at)
+
+
+def merged_counts(spark: SparkSession, at: str, keys: Sequence[str]) -> DataFrame:
+    """``start, keys, n`` over all that ``counts_to`` has written so far."""
+    return spark.read.parquet(at).groupBy("start", *keys).agg(F.sum("n").alias("n"))
+
+
+def _firsts(df: DataFrame, time: str, keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in {time, *keys, "part__"}]
+    one = df.groupBy(*keys).agg(F.min(F.struct(time, *rest)).alias("one__"))
+    return one.select(*keys, *(F.col(f"one__.{c}").alias(c) for c in (time, *rest)))
+
+
+def firsts_to(events: DataFrame, time: str, keys: Sequence[str], at: str):
+    """A stream writer that adds each micro-batch's earliest row of every key to the table ``at``; as ``counts_to``."""
+    return _parts_to(events, lambda b: _firsts(b, time, keys), at)
+
+
+def merged_firsts(spark: SparkSession, at: str, time: str, keys: Sequence[str]) -> DataFrame:
+    """Each key once, its earliest row, over all that ``firsts_to`` has written so far."""
+    return _firsts(spark.read.parquet(at), time, keys)
+
+
+def _advance(mode: str, lat: float, keep_late: bool):
     le, lf = day_factors(mode, np.array([lat]))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -33,25 +79,30 @@ def _advance(mode: str, lat: float):
         out = []
         for r in rows.sort_values("day", kind="stable").drop_duplicates("day", keep="last").itertuples():
             day = r.day.strftime("%Y-%m-%d")
-            if day <= last:
-                continue  # a day that the state has passed can't be worked in any more
+            if day <= last:  # the state has passed it: only a batch run can work it in
+                if keep_late:
+                    out.append((key[0], r.day.date(), *[None] * len(CODES), True, r.t, r.h, r.w, r.rain))
+                continue
             m = r.day.month - 1
             now, got = step(now, *(np.array([x], float) for x in (r.t, r.h, r.w, r.rain)), le[m], lf[m])
             last = day
-            out.append((key[0], r.day.date(), *(None if np.isnan(got[c][0]) else float(got[c][0]) for c in CODES)))
+            out.append((key[0], r.day.date(), *(None if np.isnan(got[c][0]) else float(got[c][0]) for c in CODES), *((False, r.t, r.h, r.w, r.rain) if keep_late else ())))
         state.update((*(float(c[0]) for c in now), last))
-        yield pd.DataFrame(out, columns=["cell", "day", *CODES])
+        yield pd.DataFrame(out, columns=["cell", "day", *CODES, *(_LATE if keep_late else ())])
 
     return run
 
 
-def fwi_stream(weather: DataFrame, mode: str = "tropical", lat: float = 0.0) -> DataFrame:
+def fwi_stream(weather: DataFrame, mode: str = "tropical", lat: float = 0.0, keep_late: bool = False) -> DataFrame:
     """The fire-weather recurrence over a stream ``cell STRING, day DATE, t, h, w, rain``.
 
     Each cell's three codes and last day are kept as state from batch to
     batch.  Days come in order per cell from batch to batch; of a day the last
-    row of a batch counts; a day not after the cell's last one is left out.
+    row of a batch counts.  A day not after the cell's last one can't change
+    the state any more: it is left out, or with ``keep_late`` returned with
+    ``late``, its weather and no indices.  All rows then have ``late`` and their
+    weather, so ``fwi_daily`` over them works the late days in.
     """
     return weather.groupBy("cell").applyInPandasWithState(
-        _advance(mode, lat), "cell string, day date, " + ", ".join(f"{c} double" for c in CODES), "ffmc double, dmc double, dc double, last string", "append", "NoTimeout"
+        _advance(mode, lat, keep_late), "cell string, day date, " + ", ".join(f"{c} {kind}" for c, kind in (dict.fromkeys(CODES, "double") | (_LATE if keep_late else {})).items()), "ffmc double, dmc double, dc double, last string", "append", "NoTimeout"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from emberline.functions.geo import BBox
 from emberline.operators.fwi import CODES, fwi_daily
 from emberline.sources import readers as R
 from emberline.sources import sinks as K
-from emberline.streaming.live import fire_counts, fwi_stream, without_repeats
+from emberline.streaming.live import counts_to, fire_counts, firsts_to, fwi_stream, merged_counts, merged_firsts, without_repeats
 
 
 def test_parquet_round_trip_and_pushdown(spark, tmp_path):
@@ -100,3 +101,31 @@ def test_windowed_counts(spark, tmp_path):
     out = _run(fire_counts(_stream(spark, tmp_path / "e", schema), "at", ["s"]), "counts_live")
     assert sum(r["n"] for r in out) == 41 and len(out) == 10
     assert len(_run(without_repeats(_stream(spark, tmp_path / "e", schema), "at", ["k"], "200 days"), "once_live")) == 5
+
+
+def _in_order(spark, path, parts, schema):
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path / f"p{i}"))
+        for f in (path / f"p{i}").glob("*.parquet"):  # files are read by time of writing
+            os.utime(f, (1e9 + 100 * i, 1e9 + 100 * i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+
+
+def test_rows_of_any_delay_are_counted(spark, tmp_path):
+    t = lambda d: dt.datetime(2019, 1, 1, 6) + dt.timedelta(d)
+    src = _in_order(spark, tmp_path / "in", [[(1, t(0), "x")], [(2, t(100), "x")], [(3, t(100), "y")], [(4, t(0), "x"), (2, t(103), "z")]], "k int, at timestamp, s string")
+    for q in (counts_to(src, "at", ["s"], str(tmp_path / "n")), firsts_to(src, "at", ["k"], str(tmp_path / "f"))):
+        run = q.option("checkpointLocation", str(tmp_path / f"c{id(q)}")).start()
+        run.processAllAvailable()
+        run.stop()
+    day = lambda d: t(d).replace(hour=0)
+    assert {(r["start"], r["s"]): r["n"] for r in merged_counts(spark, str(tmp_path / "n"), ["s"]).collect()} == {(day(0), "x"): 2, (day(100), "x"): 1, (day(100), "y"): 1, (day(103), "z"): 1}
+    assert {(r["k"], r["at"], r["s"]) for r in merged_firsts(spark, str(tmp_path / "f"), "at", ["k"]).collect()} == {(1, t(0), "x"), (2, t(100), "x"), (3, t(100), "y"), (4, t(0), "x")}
+
+
+def test_late_days_of_the_weather_are_kept(spark, tmp_path):
+    row = lambda d: ("a", dt.date(2019, 1, 1) + dt.timedelta(d), 25.0 + d, 60.0, 2.0, 0.0)
+    src = _in_order(spark, tmp_path / "in", [[row(0)], [row(2)], [row(1), row(3)]], "cell string, day date, t double, h double, w double, rain double")
+    got = _run(fwi_stream(src, keep_late=True), "fwi_late")
+    assert {r["day"]: r["late"] for r in got} == {row(d)[1]: d == 1 for d in range(4)}
+    assert {tuple(r[c] for c in ("cell", "day", "t", "h", "w", "rain")) for r in got} == {row(d) for d in range(4)}
