@@ -344,12 +344,22 @@ def text_and_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT site_id, count(*) AS n FROM heat_sites h JOIN firedata f ON f.longitude > h.longitude - 0.1 AND f.longitude < h.longitude + 0.1 AND f.latitude > h.latitude - 0.1 AND f.latitude < h.latitude + 0.1 WHERE NOT isnan(f.longitude) AND NOT isnan(f.latitude) GROUP BY site_id")
 def detections_near_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections in a square around each site, by the quadtree join (J10, points near points)."""
+    """Detections with degrees in a square around each site; those placed by x, y, z too: ``positions_near_sites``."""
+    return _near_sites(spark, sf_dir, table(spark, sf_dir, "firedata"))
+
+
+@query()
+def positions_near_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections, wherever their position comes from, in a square around each site, by the quadtree join (J10, points near points)."""
+    return _near_sites(spark, sf_dir, detections(spark, sf_dir))
+
+
+def _near_sites(spark: SparkSession, sf_dir: str, points: DataFrame) -> DataFrame:
     from ..operators.spatial import inside_regions
 
     s = table(spark, sf_dir, "heat_sites")
     half = 0.1
     boxes = s.select("site_id", F.lit("box").alias("shape"), "longitude", "latitude", F.lit(None).cast("double").alias("radius_km"), (F.col("longitude") - half).alias("west"), (F.col("longitude") + half).alias("east"), (F.col("latitude") - half).alias("south"), (F.col("latitude") + half).alias("north"))
-    return inside_regions(table(spark, sf_dir, "firedata"), "row_id", "longitude", "latitude", boxes, "site_id").groupBy("site_id").agg(F.count("*").alias("n"))
+    return inside_regions(points, "row_id", "longitude", "latitude", boxes, "site_id").groupBy("site_id").agg(F.count("*").alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +75,26 @@ def test_within_distance(spark):
     got = [(r["a"], r["b"], r["km"]) for r in within_distance(p, "a", "x", "y", p.withColumnRenamed("a", "b"), "b", "x", "y", 20.0).collect()]
     want = {(i, j) for i, x, y in a for j, u, v in a if great_circle_km(x, y, u, v) <= 20.0}
     assert len(got) == len(want) and {(i, j) for i, j, _ in got} == want and all(k <= 20.0 for _, _, k in got)
+
+
+def test_sites_see_positions_without_degrees(spark, tmp_path):
+    from emberline.queries import spatial
+
+    xyz = lambda lon, lat: (math.cos(math.radians(lat)) * math.cos(math.radians(lon)), math.cos(math.radians(lat)) * math.sin(math.radians(lon)), math.sin(math.radians(lat)))
+    rows = [(1, 110.0, -2.0, *xyz(110.0, -2.0)), (2, None, None, *xyz(110.05, -2.05)), (3, float("nan"), -2.0, *xyz(110.09, -1.95)), (4, None, None, *xyz(110.3, -2.0)), (5, None, None, None, None, None)]
+    fire = spark.createDataFrame(rows, "row_id long, longitude double, latitude double, x double, y double, z double")
+    extra = {"frp": "double", "confidence": "int", "date": "timestamp", "daynight": "string", "satellite": "string", "labs1": "long", "labs8": "long"}
+    fire.selectExpr("*", *(f"CAST(NULL AS {t}) AS {c}" for c, t in extra.items())).write.parquet(str(tmp_path / "firedata.parquet"))
+    spark.createDataFrame([(7, 110.0, -2.0), (8, 100.0, 0.0)], "site_id long, longitude double, latitude double").write.parquet(str(tmp_path / "heat_sites.parquet"))
+    assert {tuple(r) for r in spatial.QUERIES["positions_near_sites"](spark, str(tmp_path)).collect()} == {(7, 3)}
+
+
+def test_sites_and_positions_by_brute_force(spark, sf_dir):
+    from collections import Counter
+
+    from emberline.queries import spatial
+    from emberline.queries.tables import table
+
+    d = [tuple(r) for r in spatial.detections(spark, sf_dir).select("longitude", "latitude").collect()]
+    want = Counter(s for s, a, b in table(spark, sf_dir, "heat_sites").select("site_id", "longitude", "latitude").collect() for x, y in d if a - 0.1 < x < a + 0.1 and b - 0.1 < y < b + 0.1)
+    assert {r["site_id"]: r["n"] for r in spatial.QUERIES["positions_near_sites"](spark, sf_dir).collect()} == want
