@@ -52,13 +52,13 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usable values of current rows, as ``table_name, field, lonind, latind, value``."""
+    """Usable values of current rows, as ``field, lonind, latind, value, year``."""
     fire = current_rows(table(spark, sf_dir, "fwi_fire"), ["lonind", "latind", "date"], "loaded_at", {v: usable(v) for v in ("dc_med", "fwi_med")})
     clim = table(spark, sf_dir, "fwi_climatology").withColumn("day", F.to_date("time"))
     clim = current_rows(clim, ["lonind", "latind", "day"], "loaded_at", {"tp": usable("tp")})
     one = lambda field: F.struct(F.lit(field).alias("field"), F.col(field).alias("value"))
-    long = fire.select("lonind", "latind", F.explode(F.array(one("dc_med"), one("fwi_med"))).alias("v")).unionByName(clim.select("lonind", "latind", one("tp").alias("v")))
-    return long.select("v.field", "lonind", "latind", "v.value").where("value IS NOT NULL")
+    long = fire.select("lonind", "latind", F.year("date").alias("year"), F.explode(F.array(one("dc_med"), one("fwi_med"))).alias("v")).unionByName(clim.select("lonind", "latind", F.year("day").alias("year"), one("tp").alias("v")))
+    return long.select("v.field", "lonind", "latind", "v.value", "year").where("value IS NOT NULL")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,9 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same within 1 %, from pieces counted apart for each cell parity and then combined."""
+    """The same within 1 %, from pieces counted apart for even and odd years (NULL: even) and then combined."""
     v = _values(spark, sf_dir)
-    pieces = [value_counts(v.where(F.pmod(F.col("lonind") + F.col("latind"), F.lit(2)) == k), CELL, "value", 0.01) for k in (0, 1)]
+    pieces = [value_counts(v.where(F.coalesce(F.pmod(F.col("year"), F.lit(2)), F.lit(0)) == k), CELL, "value", 0.01) for k in (0, 1)]
     return pick(cumulative(merge_counts(*pieces), CELL), CELL, [50, 75, 90, 99]).select(*CELL, F.col("pct").cast("int").alias("pct"), F.round("value", 6).alias("value"), F.col("total").alias("n"))
 
 

@@ -67,3 +67,17 @@ def test_hard_texts_are_found(spark, sf_dir):
 def test_mix_report(spark, sf_dir):
     r = {x["source"]: x for x in Q.p8_report(spark, sf_dir).collect()}
     assert {k for k, x in r.items() if x["short"]} == {x[0] for x in Q.p8_found(spark, sf_dir).collect()}
+
+
+def test_bounded_pieces_share_cells_and_keep_nulls(spark, monkeypatch):
+    rows = [("tp", i, j, float(1 + k % 90), 2001 + k % 3) for i, j in ((1, 1), (1, 2), (None, 3)) for k in range(200)] + [("tp", 1, 1, 500.0, None)]
+    monkeypatch.setattr(Q, "_values", lambda *_: spark.createDataFrame(rows, "field string, lonind int, latind int, value double, year int"))
+    seen = []
+    merge = Q.merge_counts
+    monkeypatch.setattr(Q, "merge_counts", lambda *pieces: seen.extend(pieces) or merge(*pieces))
+    exact = {tuple(r)[:4]: (r["value"], r["n"]) for r in Q.p5_percentiles(spark, "").collect()}
+    near = {tuple(r)[:4]: (r["value"], r["n"]) for r in Q.p5_bounded(spark, "").collect()}
+    assert near.keys() == exact.keys() and len(exact) == 12
+    assert all(near[k][1] == n and abs(near[k][0] - v) <= 0.01 * abs(v) + 1e-6 for k, (v, n) in exact.items())
+    cells = [{tuple(r) for r in p.select(*Q.CELL).distinct().collect()} for p in seen]
+    assert len(cells) == 2 and cells[0] == cells[1]
