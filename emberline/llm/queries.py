@@ -12,7 +12,7 @@ from .cf_cluster import chained_clusters, ward_clusters
 from .leakage import leaked_passages
 from .mixing import Mix
 from .percentiles import cumulative, merge_counts, pick, reaches, value_counts
-from .reading import LevelModels, is_hard, reading_levels
+from .reading import BACKGROUND, BUCKETS, LEVELS, SMOOTHING, SPREAD, LevelModels, is_hard, label_levels, reading_levels
 
 REACH = 2770 / EARTH_M_SINUSOIDAL
 DAY = REACH / 8  # a day as long as so much of the unit sphere
@@ -122,15 +122,26 @@ def _models(spark: SparkSession, sf_dir: str, docs: DataFrame) -> LevelModels:
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading level of every English review."""
+    """Reading level of every English review, by models trained on other reviews."""
     docs = _english(spark, sf_dir)
-    return reading_levels(docs, "doc_id", "text", _models(spark, sf_dir, docs)).select("doc_id", "level", F.round("odds", 4).alias("odds"), "n_tokens")
+    return reading_levels(docs, "doc_id", "text", _models(spark, sf_dir, docs), ()).select("doc_id", "level", F.round("odds", 4).alias("odds"), "n_tokens")
+
+
+def p9_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the models' levels agree with the judged ones, all of them held out."""
+    judged = label_levels(table(spark, sf_dir, "reading_labels"), "doc_id", "level_name").withColumnRenamed("label", "judged")
+    return p9_levels(spark, sf_dir).select("doc_id", "level").join(judged, "doc_id").groupBy("judged", "level").agg(F.count("*").alias("n"))
+
+
+def p9_model_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English reviews that the models alone call hard, whatever their length; no formula."""
+    return p9_levels(spark, sf_dir).where("level = 'hard'").select("doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English reviews whose text is hard: those the models call so, checked by the formula."""
+    """English reviews whose text is hard: those the models call so, with the lines of the problem checked after."""
     docs = _english(spark, sf_dir)
-    return reading_levels(docs, "doc_id", "text", _models(spark, sf_dir, docs)).where((F.col("level") == "hard") & is_hard()).select("doc_id")
+    return reading_levels(docs, "doc_id", "text", _models(spark, sf_dir, docs), ("hard",)).where((F.col("level") == "hard") & is_hard()).select("doc_id")
 
 
 QUERIES = {
@@ -147,6 +158,8 @@ QUERIES = {
     "p8_mix": p8_mix,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
+    "p9_agreement": p9_agreement,
+    "p9_model_hard": p9_model_hard,
 }
 
 _USABLE = "CASE WHEN NOT isnan({c}) AND {c} >= 0 AND {c} < 2000 THEN {c} END"
@@ -158,12 +171,37 @@ tb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lonind, latind,
 v AS (SELECT 'dc_med' AS field, lonind, latind, dc_med AS value FROM fb UNION ALL SELECT 'fwi_med', lonind, latind, fwi_med FROM fb UNION ALL SELECT 'tp', lonind, latind, tp FROM tb),
 r AS (SELECT *, row_number() OVER (PARTITION BY field, lonind, latind ORDER BY value) AS k, count(*) OVER (PARTITION BY field, lonind, latind) AS n FROM v WHERE value IS NOT NULL)"""
 
+#: The models of reading levels over all documents (no more than the training sample holds): bucket counts and sums of logarithms.
+_LEVELS = rf"""english AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) AS UBIGINT) % 2 AS fold,
+    regexp_replace(regexp_replace(text, '[\x{{00AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '(?i)<[^<>]*>|(?:https?://|www\.)\S+|[^\s<>]+@[^\s<>]+\.\w+|&#?\w{{1,10}};', ' ', 'g') AS c
+    FROM documents WHERE regexp_extract(lower(trim(lang)), '^([a-z]+)', 1) IN ('en', 'eng', 'english')),
+  rated AS (SELECT doc_id, CASE lower(trim(level_name)) WHEN 'easy' THEN 0 WHEN 'middle' THEN 1 WHEN 'hard' THEN 2 END AS k, count(*) AS n FROM reading_labels GROUP BY ALL),
+  judged AS (SELECT doc_id, ['easy', 'middle', 'hard'][k + 1] AS judged, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k DESC) AS rn FROM rated WHERE k IS NOT NULL) WHERE rn = 1),
+  sized AS (SELECT doc_id, fold, c, len(regexp_extract_all(c, '[\pL\pN]+(?:[''’\-‐‑][\pL\pN]+)*')) AS w, greatest(1, len(regexp_extract_all(c, '[.!?…]+["''”’)\]]*(?:\s|$)'))) AS s, length(regexp_replace(c, '[^\pL]', '', 'g')) AS n FROM english),
+  trained AS (SELECT z.doc_id, fold, coalesce(j.k, CASE WHEN w = 0 THEN NULL WHEN w > 18 * s AND n > 5.6 * w THEN 2 WHEN w < 9 * s AND n < 5 * w THEN 0 ELSE 1 END) AS k FROM sized z LEFT JOIN judged j USING (doc_id)),
+  words AS (SELECT doc_id, fold, CAST('0x' || substr(md5(CASE WHEN regexp_matches(t, '^[.!?…]') THEN '.' ELSE t END), 1, 8) AS UBIGINT) % {BUCKETS} AS b FROM (SELECT doc_id, fold, unnest(regexp_extract_all(lower(c), '[\pL\pN]+|[.!?…]+')) AS t FROM english)),
+  lengths AS (SELECT doc_id, count(*) AS n_tokens FROM words GROUP BY doc_id),
+  levels_ AS (SELECT unnest(range({len(LEVELS)})) AS k), folds AS (SELECT unnest([0, 1]) AS fold),
+  seen AS (SELECT t.doc_id, fold, k FROM trained t SEMI JOIN lengths USING (doc_id) WHERE k IS NOT NULL),
+  counted AS (SELECT 1 - s.fold AS fold, s.k, b, CAST(count(*) AS DOUBLE) AS n FROM words w JOIN seen s USING (doc_id) GROUP BY ALL),
+  sums AS (SELECT fold, k, coalesce(sum(n), 0) AS n FROM folds CROSS JOIN levels_ LEFT JOIN counted USING (fold, k) GROUP BY fold, k),
+  alls AS (SELECT fold, sum(n) + {SMOOTHING} * {BUCKETS} AS n FROM sums GROUP BY fold),
+  priors AS (SELECT fold, k, ln((coalesce(d, 0) + 1) / sum(coalesce(d, 0) + 1) OVER (PARTITION BY fold)) AS prior FROM folds CROSS JOIN levels_ LEFT JOIN (SELECT 1 - fold AS fold, k, count(*) AS d FROM seen GROUP BY ALL) USING (fold, k)),
+  vocabulary AS (SELECT f.fold, w.b, (coalesce(c.n, 0) + {SMOOTHING}) / a.n AS common FROM (SELECT DISTINCT b FROM words) w CROSS JOIN folds f JOIN alls a ON a.fold = f.fold LEFT JOIN (SELECT fold, b, sum(n) AS n FROM counted GROUP BY ALL) c ON c.fold = f.fold AND c.b = w.b),
+  model AS (SELECT v.fold, s.k, v.b, ln({1 - BACKGROUND} * (coalesce(c.n, 0) + {SMOOTHING * BUCKETS * SPREAD} * common) / (s.n + {SMOOTHING * BUCKETS * SPREAD}) + {BACKGROUND} * common) AS logp FROM vocabulary v JOIN sums s ON s.fold = v.fold LEFT JOIN counted c ON c.fold = v.fold AND c.k = s.k AND c.b = v.b),
+  ll AS (SELECT doc_id, m.k, any_value(p.prior) + sum(logp) AS ll FROM words w JOIN model m ON m.fold = w.fold AND m.b = w.b JOIN priors p ON p.fold = m.fold AND p.k = m.k GROUP BY doc_id, m.k),
+  levels AS (SELECT e.doc_id, level, odds, CAST(coalesce(n_tokens, 0) AS INT) AS n_tokens FROM english e LEFT JOIN lengths USING (doc_id)
+    LEFT JOIN (SELECT doc_id, ['easy', 'middle', 'hard'][arg_max(k, ll) + 1] AS level, round((max(ll) - max(ll, 2)[2]) / any_value(n_tokens), 4) AS odds FROM ll JOIN lengths USING (doc_id) GROUP BY doc_id) USING (doc_id))"""
+
 SQL = {
     "p5_found": f"""WITH {_COUNTED}, q AS (SELECT limit_id, lonind, latind, limit_value, min(value) AS value FROM r JOIN pct_limits p ON r.field = p.field WHERE k * 100 >= p.pct * n GROUP BY ALL)
       SELECT limit_id, lonind, latind FROM q WHERE value >= limit_value""",
     "p5_percentiles": f"""WITH {_COUNTED} SELECT field, lonind, latind, pct, min(value) AS value, n FROM r, (SELECT unnest([50, 75, 90, 99]) AS pct) WHERE k * 100 >= pct * n GROUP BY field, lonind, latind, pct, n""",
     "p9_found": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g'), '(?i)<[^<>]*>|(?:https?://|www\.)\S+|&#?\w{1,10};', ' ', 'g') AS c
         FROM documents WHERE regexp_extract(lower(trim(lang)), '^([a-z]+)', 1) IN ('en', 'eng', 'english') AND text IS NOT NULL),
-      m AS (SELECT doc_id, len(regexp_extract_all(c, '[\pL\pN]+(?:[''’\-‐‑][\pL\pN]+)*')) AS w, greatest(1, len(regexp_extract_all(regexp_replace(c, '(?i)\bapprox\.+', 'approx ', 'g'), '[.!?…]+["”’)\]]*(?:\s|$)'))) AS s, length(regexp_replace(c, '[^\pL]', '', 'g')) AS n FROM t)
-      SELECT doc_id FROM m WHERE w >= 40 AND w > 18 * s AND n > 5.6 * w""",
+      m AS (SELECT doc_id, len(regexp_extract_all(c, '[\pL\pN]+(?:[\'’\-‐‑][\pL\pN]+)*')) AS w, greatest(1, len(regexp_extract_all(c, '[.!?…]+["\'”’)\]]*(?:\s|$)'))) AS s, length(regexp_replace(c, '[^\pL]', '', 'g')) AS n FROM t)
+      SELECT doc_id FROM m WHERE w >= 40 AND w > 18 * s AND n > 5.6 * w""".replace("\\'", "''"),
+    "p9_levels": f"WITH {_LEVELS} SELECT doc_id, level, odds, n_tokens FROM levels",
+    "p9_agreement": f"WITH {_LEVELS} SELECT judged, level, count(*) AS n FROM levels JOIN judged USING (doc_id) GROUP BY ALL",
+    "p9_model_hard": f"WITH {_LEVELS} SELECT doc_id FROM levels WHERE level = 'hard'",
 }

@@ -7,7 +7,7 @@ import os
 import pytest
 
 from emberline.llm import mixing as M
-from emberline.llm.reading import LevelModels, formula_level, is_hard, label_levels, measures, readable, reading_levels, tokens
+from emberline.llm.reading import FOLDS, LevelModels, bucket, fold_of, formula_level, is_hard, label_levels, measures, readable, reading_levels, tokens
 
 pytestmark = pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no tokenizer files")
 
@@ -62,8 +62,8 @@ def test_measures():
     assert measures("") == (0, 1, 0) and formula_level(0, 1, 0) is None
     marked = measures(readable("<p>" + HARD + "<br/>" + HARD + "</p> See https://example.invalid/a.b.c"))
     assert marked[0] == hard[0] + 1 and formula_level(*marked) == "hard"
-    assert measures("Approx. speaking this is one sentence, e.g. a short one... and more")[1] == 1
-    assert measures('He said "no." Then (approx... five) left.')[1] == 2
+    assert measures("Approx. speaking these are two... and 3.5 ends none")[1] == 2
+    assert measures('He said "no." Then five left.')[1] == 2 and measures("éa ß1 ½")[2] == 3
     assert measures("w " * 100_000) == (100_000, 1, 100_000)
 
 
@@ -79,4 +79,11 @@ def test_levels(spark):
     assert all(got[i] == ("hard" if i % 2 else "easy") for i in range(200)) and got[900] is None and got[901] is None and got[902] == "hard"
     untrained = LevelModels.fit(df.limit(0), "doc_id", "text", labels.limit(0), "level_name")
     assert reading_levels(df.limit(0), "doc_id", "text", untrained).collect() == []
+    # a document has no part in the models that score it: its fold's counts are left out
+    one = df.where("doc_id = 1")
+    alone = LevelModels.fit(one, "doc_id", "text", labels, "level_name")
+    fold = one.select(fold_of("doc_id")).first()[0]
+    size = alone.logp.shape[1] // FOLDS
+    at = bucket("notwithstanding")
+    assert len(set(alone.logp[:, fold * size + at])) == 1 and len(set(alone.logp[:, (1 - fold) * size + at])) > 1
     assert tokens(readable("A <b>B</b> c... https://x.y/z d!")) == ["a", "b", "c", ".", "d", "."]
