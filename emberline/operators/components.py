@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, release
 
 #: Edges up to which one task merges them all; beyond, rounds of star contraction do.
 ONE_TASK_EDGES = 500_000
@@ -66,7 +66,8 @@ def component_roots(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFra
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        pairs = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        last, pairs = pairs, materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        release(last)
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

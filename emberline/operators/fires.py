@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import join_per_key
+
 
 def cluster_features(df: DataFrame, label: str, day: str, inclusive: bool = True) -> DataFrame:
     """Adds ``duration`` (days) and ``fsize`` (detections) of each row's cluster.
 
-    Aggregated per cluster and joined back, so that a cluster with a tenth of
-    all rows is never sorted into one task; NULL labels get NULLs.
+    Aggregated per cluster and joined back with the hot clusters set aside, so
+    that no task holds a cluster with a tenth of all rows, nor the rows without
+    a label; those get NULLs.
     """
-    per = df.where(F.col(label).isNotNull()).groupBy(label).agg((F.datediff(F.max(day), F.min(day)) + int(inclusive)).alias("duration"), F.count("*").alias("fsize"))
-    return df.drop("duration", "fsize").join(per, label, "left")
+    per = df.groupBy(label).agg((F.datediff(F.max(day), F.min(day)) + int(inclusive)).alias("duration"), F.count("*").alias("fsize"))
+    return join_per_key(df, per, label, "fsize", ["duration", "fsize"])
 
 
 def monthly_fire_features(df: DataFrame, keys: Sequence[str], ts: str, daynight: str, label: str) -> DataFrame:
@@ -27,24 +30,35 @@ def monthly_fire_features(df: DataFrame, keys: Sequence[str], ts: str, daynight:
     )
 
 
+def with_first_day(df: DataFrame, label: str, day: str) -> DataFrame:
+    """Adds ``first_day`` of each row's cluster; rows without a label are dropped."""
+    per = df.groupBy(label).agg(F.min(day).alias("first_day"), F.count("*").alias("n__rows"))
+    return join_per_key(df, per, label, "n__rows", ["first_day"], inner=True)
+
+
 def ignitions(df: DataFrame, long_label: str, short_label: str, day: str, lon: str, lat: str) -> DataFrame:
     """Mean place of each short cluster on the first day of its long cluster."""
-    first = df.groupBy(long_label).agg(F.min(day).alias("first__"))
-    on_first = df.join(first, long_label).where(F.col(day) == F.col("first__"))
+    on_first = with_first_day(df.select(long_label, short_label, day, lon, lat), long_label, day).where(F.col(day) == F.col("first_day"))
     return on_first.groupBy(short_label, day).agg(F.avg(lon).alias("longitude"), F.avg(lat).alias("latitude"))
 
 
-def without_clusters_touching(df: DataFrame, label: str, boxes: DataFrame, lon: str = "longitude", lat: str = "latitude", most: int = 10_000) -> DataFrame:
+def any_in_cluster(df: DataFrame, label: str, flags: dict[str, str]) -> DataFrame:
+    """Adds a boolean for each of ``flags`` (new name to column): whether any detection of the row's cluster has it; NULL without a label."""
+    per = df.groupBy(label).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()), F.count("*").alias("n__rows"))
+    return join_per_key(df, per, label, "n__rows", list(flags))
+
+
+def without_clusters_touching(df: DataFrame, label: str, boxes: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """Drop every cluster with a detection strictly inside of a box (``west, east, south, north``); rows without a label stay.
 
-    Up to ``most`` boxes (counted) are broadcast; more go by quadtree partitions.
+    The different places of each cluster go through the quadtree join, however
+    many boxes there are; labels of any type.
     """
-    if boxes.count() <= most:
-        inside = (F.col(lon) > F.col("west")) & (F.col(lon) < F.col("east")) & (F.col(lat) > F.col("south")) & (F.col(lat) < F.col("north"))
-        hit = df.select(label, lon, lat).join(F.broadcast(boxes.select("west", "east", "south", "north")), inside, "left_semi")
-    else:
-        from .spatial import inside_regions
-
-        regions = boxes.select(F.monotonically_increasing_id().alias("bid__"), F.lit("box").alias("shape"), F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("radius_km"), "west", "east", "south", "north")
-        hit = inside_regions(df, label, lon, lat, regions, "bid__")
-    return df.join(hit.select(label).where(F.col(label).isNotNull()).distinct(), label, "left_anti")
+    from .spatial import inside_regions
+
+    regions = boxes.select(F.monotonically_increasing_id().alias("bid__"), F.lit("box").alias("shape"), *(F.lit(None).cast("double").alias(c) for c in ("longitude", "latitude", "radius_km")), "west", "east", "south", "north")
+    places = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label__"), F.col(lon).alias("lon__"), F.col(lat).alias("lat__")).distinct()
+    touched = inside_regions(places, "label__", "lon__", "lat__", regions, "bid__").groupBy("label__").agg(F.lit(True).alias("touched__"))
+    sizes = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label__")).agg(F.count("*").alias("n__"))
+    per = sizes.join(touched, "label__").select(F.col("label__").alias(label), "n__", "touched__")
+    return join_per_key(df, per, label, "n__", ["touched__"]).where("touched__ IS NULL").drop("touched__")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.met import MID_MONTH_DAYS, day_length_hours
+from ..plans.materialize import materialize
 
 #: Moisture codes at the start of a series.
 START = (85.0, 6.0, 15.0)
@@ -35,11 +36,6 @@ class Codes(NamedTuple):
     dc: np.ndarray
 
 
-def _safe(f, x):
-    with np.errstate(all="ignore"):
-        return f(x)
-
-
 def fine_fuel(f0, t, h, w, rain):
     """Fine fuel moisture code."""
     m = 147.2 * (101.0 - f0) / (59.5 + f0)
@@ -190,8 +186,8 @@ def fwi_daily(
     else:
         plain = plain.join(initial_state.select(*keys, *(F.col(k).cast("double").alias(f"s_{k}") for k in codes)), list(keys), "left")
     text = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
-    spark = df.sparkSession
-    blocks = max(spark.sparkContext.defaultParallelism, -(-plain.count() // BLOCK_ROWS))
+    plain = materialize(plain, "weather")  # counted and worked off without running the input twice
+    blocks = max(df.sparkSession.sparkContext.defaultParallelism, -(-plain.count() // BLOCK_ROWS))
     placed = plain.withColumns({"cell": text, "block": F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")})
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", day date, " + ", ".join(f"{k} double" for k in CODES)

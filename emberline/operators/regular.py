@@ -12,7 +12,7 @@ from ..functions.clean import finite
 DAY_S = 86_400.0
 
 
-def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_gap: int, counter: bool = True, uncovered: bool = True) -> DataFrame:
+def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_gap: int, counter: bool = True) -> DataFrame:
     """A daily series per source: ``keys, day, n_readings, amount, status``.
 
     ``counter``: the value is a cumulative counter.  Consecutive readings are
@@ -27,8 +27,7 @@ def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_ga
 
     ``status``: ``reading`` (the day has one), ``filled`` (none, but an
     interval of at most ``max_gap`` days covers it) or ``uncovered``.  One row
-    for each day from a source's first to its last reading, or without the
-    uncovered ones if ``uncovered`` is False.
+    for each day from a source's first to its last reading.
 
     Readings are worked off per source and day, then the days of a source are
     linked by their first and last reading, so a hot source is split into its
@@ -65,7 +64,7 @@ def daily_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, max_ga
         return F.unix_seconds(F.col(day).cast("timestamp")).cast("double")
 
     into_own = F.when(near_before & (F.col("first.s") > F.col("prev.s")), share(start_of("d"), F.col("prev.s"), F.col("first.s"))).otherwise(1.0)
-    end = F.when(F.col("next_d").isNotNull() & (covered | F.lit(uncovered)), F.date_sub("next_d", 1)).otherwise(F.col("d"))
+    end = F.when(F.col("next_d").isNotNull(), F.date_sub("next_d", 1)).otherwise(F.col("d"))
     spans = linked.select(*k, "d", "n", (F.col("inside") + F.col("entering") * into_own).alias("own"), "s0", "s1", "coming", covered.alias("covered"), F.explode(F.sequence("d", end)).alias("day"))
     own = F.col("day") == F.col("d")
     spread = F.when(F.col("covered"), F.col("coming") * share(start_of("day"), F.col("s0"), F.col("s1"))).otherwise(0.0)

@@ -59,7 +59,6 @@ def monthly_features(df: DataFrame, keys: Sequence[str], day: str, variables: Se
     humidity where they are among the variables.  NULLs are skipped, so a
     month without values has NULLs; lags go by rows, as months have no gaps.
     """
-    w7 = Window.partitionBy(*keys).orderBy(day).rowsBetween(-6, 0)
     base = df.select(*keys, F.col(day).alias("day__"), *(F.col(v).cast("double").alias(v) for v in (*variables, rain)))
     base = base.withColumns({f"{v}__7": F.avg(v).over(Window.partitionBy(*keys).orderBy("day__").rowsBetween(-6, 0)) for v in (*variables, rain)})
     aggs = {}
@@ -72,7 +71,6 @@ def monthly_features(df: DataFrame, keys: Sequence[str], day: str, variables: Se
     out = {f"{v}_3sum": F.sum(f"{v}_med").over(w3) for v in variables} | {f"{rain}_3sum": F.sum(f"{rain}_sum").over(w3)}
     lagged = [(rain, f"{rain}_sum"), *((v, f"{v}_med") for v in ("t2m", "w10", "h2m") if v in variables)]
     out |= {f"{v}_{k}": F.lag(c, k).over(w) for v, c in lagged for k in range(1, lags + 1)}
-    del w7
     return m.withColumns(out)
 
 
@@ -88,9 +86,14 @@ def expand_climatology(clim: DataFrame, keys: Sequence[str], start: str, end: st
     return clim.join(F.broadcast(days), period)  # days of the asked calendar only
 
 
-def anomalies(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
-    """Monthly means minus the mean of that month over all years."""
-    m = df.groupBy(*keys, F.year(day).alias("year"), F.month(day).alias("month")).agg(F.avg(value).alias("mean"))
+def anomalies(df: DataFrame, keys: Sequence[str], day: str, value: str, decimals: int | None = None) -> DataFrame:
+    """Monthly means minus the mean of that month over all years.
+
+    ``decimals``: how many the values have; they are then added up as decimal
+    numbers, so the mean of a month doesn't depend on the order of its days.
+    """
+    v = F.col(value) if decimals is None else F.col(value).cast(f"decimal(18, {decimals})")
+    m = df.groupBy(*keys, F.year(day).alias("year"), F.month(day).alias("month")).agg((F.sum(v).cast("double") / F.count(v)).alias("mean"))
     return m.withColumn("anomaly", F.col("mean") - F.avg("mean").over(Window.partitionBy(*keys, "month")))
 
 

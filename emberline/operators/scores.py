@@ -7,14 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_totals
+
 EPS = 1e-15
 
 
 def _by_score(df: DataFrame, group: Sequence[str], label: str, prob: str) -> DataFrame:
-    """Positives and negatives per distinct score: windows then run over scores, not rows."""
+    """Positives and negatives per distinct score."""
     return df.groupBy(*group, F.col(prob).alias("p")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
 
 
+def _curve(df: DataFrame, group: Sequence[str], label: str, prob: str) -> DataFrame:
+    """Per distinct score, from the highest down: true and false positives so far (``tp, fp``) and of the whole group (``P, N``)."""
+    run = running_totals(_by_score(df, group, label, prob), group, "p", ["pos", "neg"], descending=True)
+    return run.withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp", "total_pos": "all_pos", "total_neg": "all_neg"})
+
+
 def scores(df: DataFrame, group: Sequence[str], label: str, prob: str) -> DataFrame:
     """Per group: ``n, auc, brier, logloss, avg_precision, recall`` (at 0.5).
 
@@ -24,9 +32,7 @@ def scores(df: DataFrame, group: Sequence[str], label: str, prob: str) -> DataFr
     if not group:
         return scores(df.withColumn("all__", F.lit(1)), ["all__"], label, prob).drop("all__")
     d = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull())
-    s = _by_score(d, group, label, prob)
-    down = Window.partitionBy(*group).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    s = _curve(d, group, label, prob)
     ranked = s.groupBy(*group).agg(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") * 0.5).alias("wins"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"),
@@ -43,10 +49,8 @@ def scores(df: DataFrame, group: Sequence[str], label: str, prob: str) -> DataFr
 
 def roc_points(df: DataFrame, group: Sequence[str], label: str, prob: str) -> DataFrame:
     """``group, threshold, tpr, fpr`` at every distinct score."""
-    s = _by_score(df, group, label, prob)
-    down = Window.partitionBy(*group).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    return s.select(*group, F.col("p").alias("threshold"), F.try_divide(F.sum("pos").over(down), F.sum("pos").over(whole)).alias("tpr"), F.try_divide(F.sum("neg").over(down), F.sum("neg").over(whole)).alias("fpr"))
+    s = _curve(df, group, label, prob)
+    return s.select(*group, F.col("p").alias("threshold"), F.try_divide("tp", "all_pos").alias("tpr"), F.try_divide("fp", "all_neg").alias("fpr"))
 
 
 def roc_on_grid(df: DataFrame, group: Sequence[str], label: str, prob: str, points: int = 100) -> DataFrame:
@@ -104,18 +108,17 @@ def balance(df: DataFrame, label: str, order: Sequence[str], seed: int | None =
     return out.join(F.broadcast(least)).where(F.col("rank__") <= F.col("least__")).drop("h__", "b__", "off__", "rank__", "least__")
 
 
-def systematic_sample(df: DataFrame, label: str, order: str, keep_each: int) -> DataFrame:
-    """All positives and every ``keep_each``-th of the others, in the order of a BIGINT column.
+def systematic_sample(df: DataFrame, label: str, order: str, keep_each: int | None = None) -> DataFrame:
+    """All positives and every ``keep_each``-th of the others along ``order``, the first of them included.
 
-    Ranks come from counts per range of the order, as in ``balance``.
+    Without ``keep_each`` it is half of the others for each positive, rounded
+    down, and at least 1, so that about two of the others come to each positive.
+    Ranks are running sums by range, so neither the order's distribution nor
+    ties matter for the load.  Rows with a NULL label are left out.
     """
-    bounds = df.agg(F.min(order).alias("lo__"), F.max(order).alias("hi__"))
-    d = df.join(F.broadcast(bounds))  # one row
-    bucket = F.floor((F.col(order) - F.col("lo__")) * 4095.0 / F.greatest(F.lit(1), F.col("hi__") - F.col("lo__"))).cast("int")
-    d = d.withColumn("b__", bucket)
-    neg = d.where(F.col(label) == 0)
-    per = neg.groupBy("b__").agg(F.count("*").alias("c__"))
-    offs = per.withColumn("off__", F.coalesce(F.sum("c__").over(Window.partitionBy(F.lit(1)).orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c__")
-    rank = F.row_number().over(Window.partitionBy("b__").orderBy(order)) + F.col("off__")
-    kept = neg.join(F.broadcast(offs), "b__").withColumn("rank__", rank).where(F.pmod(F.col("rank__") - 1, F.lit(keep_each)) == 0)
-    return kept.drop("rank__", "off__", "b__", "lo__", "hi__").unionByName(d.where(F.col(label) == 1).drop("b__", "lo__", "hi__"))
+    if keep_each is None:
+        n = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy((F.col(label) == 1).alias("y")).count().collect()}  # two rows
+        keep_each = max(1, n.get(False, 0) // (2 * max(1, n.get(True, 0))))
+    others = running_totals(df.where(F.col(label) == 0).withColumn("one__", F.lit(1)), [], order, ["one__"])
+    kept = others.where(F.pmod(F.col("upto_one__") - 1, F.lit(keep_each)) == 0)
+    return kept.select(*df.columns).unionByName(df.where(F.col(label) == 1))

@@ -29,12 +29,13 @@ MOST_LEAVES = 8_192
 DEPTH = 24
 FANOUT = 16
 CHUNK = 4_000_000
+SALT_RANGE = 1 << 24
 WORLD = (-180.0, -90.0, 360.0)  # west, south and width of the root square
 
 
 @dataclass(frozen=True)
 class Quadtree:
-    """``child[i]``: first of the four children of node ``i``, or ``-1 - leaf``; ``salts[leaf]``: parts that share a leaf too hot to cut."""
+    """``child[i]``: first of the four children of node ``i``, or ``-1 - leaf``; ``salts[leaf]``: shares of the points of a leaf too hot to cut."""
 
     child: np.ndarray
     salts: np.ndarray
@@ -183,30 +184,56 @@ def _region_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield again
 
 
-def _with_leaf(tree: Quadtree, wanted: np.ndarray, offset: np.ndarray):
-    """Leaf of each point; points of leaves without a region end here."""
+@dataclass(frozen=True)
+class Parts:
+    """The tasks of each leaf: a hot leaf has a table of them, ``rows[leaf]`` shares of its points by ``cols[leaf]`` shares of its regions."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.rows * self.cols)]).astype(int)
+
+    def leaf_of_part(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.rows)), self.rows * self.cols)
+
+
+def _expand(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item as many copies as ``times`` says: the item and the number of the copy."""
+    item = np.repeat(np.arange(len(times)), times)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _with_part(tree: Quadtree, parts: Parts, wanted: np.ndarray):
+    """The tasks of each point; points of leaves without a region end here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = parts.first
         for p in batches:
-            lon, lat = p["lon"].to_numpy(float), p["lat"].to_numpy(float)
-            leaf = tree.leaf(lon, lat)
-            keep = wanted[leaf]
-            ids = p["pid"].to_numpy()[keep]
-            leaf = leaf[keep]
-            part = offset[leaf] + (ids % tree.salts[leaf] if len(leaf) else 0)
-            yield pd.DataFrame({"part": part.astype("int32"), "pid": ids, "lon": lon[keep], "lat": lat[keep]})
+            leaf = tree.leaf(p["lon"].to_numpy(float), p["lat"].to_numpy(float))
+            at = np.flatnonzero(wanted[leaf])
+            leaf = leaf[at]
+            row = p["salt"].to_numpy()[at] % parts.rows[leaf]
+            item, col = _expand(parts.cols[leaf])
+            out = p.iloc[at[item]].drop(columns="salt")
+            out.insert(0, "part", (first[leaf] + row * parts.cols[leaf])[item].astype("int32") + col.astype("int32"))
+            yield out
 
     return run
 
 
-def _replicate(tree: Quadtree, offset: np.ndarray):
+def _replicate(tree: Quadtree, parts: Parts):
+    """The tasks of each region: those of every leaf that it overlaps, in all of which it is in one share."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = parts.first
         for r in batches:
             at, leaf = tree.overlapped(r[["bw", "bs", "be", "bn"]].to_numpy(float))
-            again = tree.salts[leaf]
-            at, leaf, k = np.repeat(at, again), np.repeat(leaf, again), np.concatenate([np.arange(x) for x in again]) if len(again) else np.zeros(0, int)
-            out = r.iloc[at].copy()
-            out.insert(0, "part", (offset[leaf] + k).astype("int32"))
+            col = r["salt"].to_numpy()[at] % parts.cols[leaf]
+            item, row = _expand(parts.rows[leaf])
+            out = r.iloc[at[item]].drop(columns="salt")
+            out.insert(0, "part", (first[leaf] + col)[item].astype("int32") + (row * parts.cols[leaf][item]).astype("int32"))
             yield out
 
     return run
@@ -229,31 +256,42 @@ def _probe(tree: Quadtree, leaf_of_part: np.ndarray):
                 # the reference point of a point and a box is the point itself
                 ref = tree.leaf(np.maximum(lon[p], boxes[r, 0]), np.maximum(lat[p], boxes[r, 1])) == leaf
                 found.append(pd.DataFrame({"pid": pid[p[ref]], "rid": rid[r[ref]], "km": km[ref]}))
-        return pd.concat(found) if found else pd.DataFrame({"pid": np.zeros(0, "int64"), "rid": np.zeros(0, "int64"), "km": np.zeros(0)})
+        return pd.concat(found) if found else pd.DataFrame({"pid": points["pid"].iloc[:0], "rid": np.zeros(0, "int64"), "km": np.zeros(0)})
 
     return run
 
 
-def _join(points: DataFrame, regions: DataFrame, rows: int) -> DataFrame:
-    """``points``: pid, lon, lat; ``regions``: as REGION.  Pairs ``pid, rid, km``."""
+def _share(rows: int) -> float:
+    return min(1.0, SAMPLE_ROWS / max(1, rows))
+
+
+def _join(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """``points``: pid, lon, lat, salt; ``regions``: as REGION and salt.  Pairs ``pid, rid, km``."""
     spark = points.sparkSession
-    share = min(1.0, SAMPLE_ROWS / max(1, rows))
-    chance = F.pmod(F.xxhash64("pid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    sample = points.where(chance).select("lon", "lat").toArrow().to_pandas().to_numpy(float)
-    parts = max(spark.sparkContext.defaultParallelism, -(-rows // LEAF_ROWS))
-    tree = Quadtree.fit(sample[:, 0], sample[:, 1], min(MOST_LEAVES, 4 * parts + 1), 1 / parts)
-    offset = np.concatenate([[0], np.cumsum(tree.salts)]).astype(int)
-    leaf_of_part = np.repeat(np.arange(len(tree.salts)), tree.salts)
-    spread = regions.mapInPandas(_replicate(tree, offset), "part int, " + REGION)
-    used = spread.select("part").distinct().toArrow().to_pandas()["part"].to_numpy()  # at most the number of leaves
+    pid = points.schema["pid"].dataType.simpleString()
+    rows, n_regions = points.count(), regions.count()
+    chance = lambda share: F.col("salt") < int(share * SALT_RANGE) + 1
+    sample = points.where(chance(_share(rows))).select("lon", "lat").toArrow().to_pandas().to_numpy(float)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // LEAF_ROWS))
+    tree = Quadtree.fit(sample[:, 0], sample[:, 1], min(MOST_LEAVES, 4 * tasks + 1), 1 / tasks)
+    some = regions.where(chance(_share(n_regions))).select("bw", "bs", "be", "bn").toArrow().to_pandas().to_numpy(float)
+    load = np.bincount(tree.overlapped(some)[1], minlength=len(tree.salts)) / _share(n_regions)
+    parts = Parts(tree.salts, np.maximum(1, np.ceil(load / (2 * LEAF_ROWS))).astype(int))
+    spread = regions.mapInPandas(_replicate(tree, parts), "part int, " + REGION)
+    used = spread.select("part").distinct().toArrow().to_pandas()["part"].to_numpy()  # bounded by leaves and their shares
     wanted = np.zeros(len(tree.salts), bool)
-    wanted[leaf_of_part[used]] = True
-    placed = points.mapInPandas(_with_leaf(tree, wanted, offset[:-1]), "part int, pid long, lon double, lat double")
-    return placed.groupBy("part").cogroup(spread.groupBy("part")).applyInPandas(_probe(tree, leaf_of_part), "pid long, rid long, km double")
+    wanted[parts.leaf_of_part()[used]] = True
+    placed = points.mapInPandas(_with_part(tree, parts, wanted), f"part int, pid {pid}, lon double, lat double")
+    return placed.groupBy("part").cogroup(spread.groupBy("part")).applyInPandas(_probe(tree, parts.leaf_of_part()), f"pid {pid}, rid long, km double")
+
+
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALT_RANGE)).cast("int").alias("salt")
 
 
 def _points(df: DataFrame, id_col: str, lon: str, lat: str) -> DataFrame:
-    return df.where(valid_degrees(lon, lat) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("pid"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"))
+    p = df.where(valid_degrees(lon, lat) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("pid"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"))
+    return p.select("*", _salt("pid", "lon", "lat"))
 
 
 def inside_regions(points: DataFrame, id_col: str, lon: str, lat: str, regions: DataFrame, region_id: str) -> DataFrame:
@@ -272,11 +310,10 @@ def inside_regions(points: DataFrame, id_col: str, lon: str, lat: str, regions:
         F.col("west").alias("w"), F.col("south").alias("s"), F.col("east").alias("e"), F.col("north").alias("n"),
     )
     sound = F.when(F.col("circle"), valid_degrees("clon", "clat") & (F.col("km") >= 0) & (F.col("km") < F.lit(float("inf")))).otherwise(valid_degrees("w", "s") & valid_degrees("e", "n"))
-    r = r.where(F.col("rid").isNotNull() & F.coalesce(sound, F.lit(False))).select("*", *(F.lit(0.0).alias(c) for c in ("bw", "bs", "be", "bn"))).mapInPandas(_region_boxes, REGION)
-    p = _points(points, id_col, lon, lat)
-    out = _join(p, r, p.count())
-    rid_type, pid_type = regions.schema[region_id].dataType, points.schema[id_col].dataType
-    return out.select(F.col("pid").cast(pid_type).alias(id_col), F.col("rid").cast(rid_type).alias(region_id), F.when(F.isnan("km"), None).otherwise(F.col("km")).alias("km"))
+    r = r.where(F.col("rid").isNotNull() & F.coalesce(sound, F.lit(False))).select("*", *(F.lit(0.0).alias(c) for c in ("bw", "bs", "be", "bn"))).mapInPandas(_region_boxes, REGION).select("*", _salt("rid"))
+    out = _join(_points(points, id_col, lon, lat), r)
+    rid_type = regions.schema[region_id].dataType
+    return out.select(F.col("pid").alias(id_col), F.col("rid").cast(rid_type).alias(region_id), F.when(F.isnan("km"), None).otherwise(F.col("km")).alias("km"))
 
 
 def within_distance(points: DataFrame, id_col: str, lon: str, lat: str, others: DataFrame, other_id: str, other_lon: str, other_lat: str, km: float) -> DataFrame:
@@ -284,11 +321,12 @@ def within_distance(points: DataFrame, id_col: str, lon: str, lat: str, others:
 
     The others are circles around their places; a point is compared only with
     those whose box covers it.  Rows without valid degrees or id yield
-    nothing.  Both id columns must have different names.
+    nothing.  Both id columns must have different names.  A leaf that is hot
+    on either side, or on both, is a table of tasks: each holds a share of the
+    points and a share of the others.
     """
     o = others.where(valid_degrees(other_lon, other_lat) & F.col(other_id).isNotNull()).select(
         F.col(other_id).cast("long").alias("rid"), F.lit(True).alias("circle"), F.col(other_lon).cast("double").alias("clon"), F.col(other_lat).cast("double").alias("clat"),
         F.lit(float(km)).alias("km"), *(F.lit(0.0).alias(c) for c in ("w", "s", "e", "n", "bw", "bs", "be", "bn")),
-    ).mapInPandas(_region_boxes, REGION)
-    p = _points(points, id_col, lon, lat)
-    return _join(p, o, p.count()).select(F.col("pid").alias(id_col), F.col("rid").alias(other_id), "km")
+    ).mapInPandas(_region_boxes, REGION).select("*", _salt("rid", "clon", "clat"))
+    return _join(_points(points, id_col, lon, lat), o).select(F.col("pid").alias(id_col), F.col("rid").alias(other_id), "km")

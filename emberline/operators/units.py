@@ -9,13 +9,15 @@ nominal quantity, seen through the known conversions.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import finite
+from ..plans.materialize import materialize
 
 #: Numbers that stand for a missing value.
 MISSING = (-32768.0, -9999.0, -999.0, -99.0, 9999.0, 99999.0, 32767.0)
@@ -42,7 +44,8 @@ class Quantity:
     every unit the value counts as missing.  ``centre, spread``: start of the
     fit, on the log scale.  ``bin_width``: width of the histogram's bins, on
     the log scale if ``log_bins``; it bounds what reaches the driver to
-    (range / width) counts, whatever the rows.
+    (range / width) counts, whatever the rows.  ``missing``: numbers that
+    stand for a missing value, even where they are plausible in some unit.
     """
 
     field: str
@@ -54,7 +57,7 @@ class Quantity:
     log_bins: bool = True
     bin_width: float = 0.01
     zero_is_any: bool = False
-    silent: str = field(default="")
+    missing: tuple[float, ...] = MISSING
 
 
 _T = r"(?:\bt2m\b|\btemp\w*\b|\bsuhu\b|\btermometer\b|\bthermometer\b|\bt\b)"
@@ -130,7 +133,7 @@ def measured(quantity: Quantity, value: str | Column) -> Column:
         ok = ok | n.between(quantity.low, quantity.high)
     if quantity.zero_is_any:
         ok = ok | (v == 0.0)
-    return F.when(~v.isin(list(MISSING)) & ok, v)
+    return F.when(~v.isin(list(quantity.missing)) & ok, v)
 
 
 @dataclass(frozen=True)
@@ -226,44 +229,77 @@ def ranged_unit(ranges: list[tuple[float, str | None]], value: Column) -> Column
     return out.when(value.isNotNull(), F.lit(ranges[-1][1]))
 
 
-def histogram(df: DataFrame, quantity: Quantity, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the non-zero values by bin; at most (plausible range / bin width) rows reach the driver."""
-    v = F.col(value)
-    scaled = F.ln(v) if quantity.log_bins else v
-    bins = df.where(v.isNotNull() & (v != 0.0) & ((v > 0) | F.lit(not quantity.log_bins))).groupBy(F.round(scaled / quantity.bin_width).cast("long").alias("b")).count().collect()
-    centre = np.array([r["b"] for r in bins], float) * quantity.bin_width
-    return (np.exp(centre) if quantity.log_bins else centre), np.array([r["count"] for r in bins], float)
+@dataclass(frozen=True)
+class Recorded:
+    """A column of a table that holds a quantity, and the units that the row and its source state for it, if any."""
 
+    quantity: Quantity
+    value: str
+    remark_unit: Column | None = None
+    source_unit: Column | None = None
+
+
+def histograms(staged: DataFrame, quantities: Sequence[Quantity]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Values and counts of the rows without a stated unit, by field and bin, zeros left out; one job for all fields.
+
+    At most (plausible range / bin width) rows a field reach the driver.
+    """
+    bins = []
+    for q in quantities:
+        v = F.col(f"{q.field}__v")
+        silent = F.col(f"{q.field}__r").isNull() & F.col(f"{q.field}__s").isNull() & (v > 0 if q.log_bins else v != 0)
+        bins.append(F.when(silent, F.struct(F.lit(q.field).alias("field"), F.round((F.ln(v) if q.log_bins else v) / q.bin_width).cast("long").alias("b"))))
+    rows = staged.select(F.explode(F.array_compact(F.array(*bins))).alias("x")).groupBy("x.field", "x.b").count().toArrow().to_pandas()
+    out = {}
+    for q in quantities:
+        own = rows[rows["field"] == q.field]
+        centre = own["b"].to_numpy(float) * q.bin_width
+        out[q.field] = np.exp(centre) if q.log_bins else centre, own["count"].to_numpy(float)
+    return out
 
-def with_units(df: DataFrame, quantity: Quantity, value: str, remark_unit: Column | None = None, source_unit: Column | None = None, sure: float = 0.95) -> DataFrame:
-    """Adds ``<field>_unit, _by, _posterior, _uncertain, _nominal`` to every row.
+
+def in_common_units(df: DataFrame, recorded: Sequence[Recorded], sure: float = 0.95) -> DataFrame:
+    """Adds ``<field>_unit, _by, _posterior, _uncertain, _nominal`` to every row, for each recorded quantity.
 
     ``_by``: ``remark``, ``source``, ``value`` or NULL where the value is
     missing (then the unit and the nominal value are NULL too).  ``_posterior``
     is 1 for stated units; ``_uncertain`` where the mixture gives the best
     unit less than ``sure``.  Zero of a quantity that is zero in every unit
-    gets its stated unit, else the nominal one.  The mixture is fitted on the
-    rows whose unit isn't stated, all of them, through a bounded histogram.
-    Existing columns of these names are replaced; others are kept.
+    gets its stated unit, else the nominal one.  The mixtures are fitted on the
+    rows whose unit isn't stated, all of them, through bounded histograms.
+    The texts are matched once: what they state is written to a table that the
+    histograms and the result are read from.  Give only the columns that are
+    needed; existing ones of these names are replaced, others are kept.
     """
-    q, f = quantity, quantity.field
     none = F.lit(None).cast("string")
-    v = measured(q, value)
-    stated = df.withColumns({f"{f}__v": v, f"{f}__r": none if remark_unit is None else remark_unit, f"{f}__s": none if source_unit is None else source_unit})
-    silent = stated.where(F.col(f"{f}__r").isNull() & F.col(f"{f}__s").isNull())
-    mixture = fit_mixture(q, *histogram(silent, q, f"{f}__v"))
-    v, said = F.col(f"{f}__v"), F.coalesce(f"{f}__r", f"{f}__s")
-    ranges = unit_ranges(q, mixture)
-    zero = F.lit(q.zero_is_any) & (v == 0.0)
-    unit = F.when(v.isNotNull(), F.coalesce(said, F.when(zero, q.units[0].name), ranged_unit(ranges, v)))
-    posterior = F.when(v.isNotNull(), F.when(said.isNotNull() | zero, 1.0).otherwise(best_unit(q, mixture, v)["posterior"]))
-    nominal = None
-    for u in q.units:
-        n = u.to_nominal(v)
-        nominal = F.when(F.col(f"{f}_unit") == u.name, n) if nominal is None else nominal.when(F.col(f"{f}_unit") == u.name, n)
-    by = F.when(v.isNotNull(), F.when(F.col(f"{f}__r").isNotNull(), "remark").when(F.col(f"{f}__s").isNotNull(), "source").otherwise("value"))
-    out = stated.withColumns({f"{f}_unit": unit, f"{f}_by": by, f"{f}_posterior": posterior})
-    return out.withColumns({f"{f}_uncertain": F.col(f"{f}_posterior") < sure, f"{f}_nominal": nominal}).drop(f"{f}__v", f"{f}__r", f"{f}__s")
+    names = [f"{r.quantity.field}_{n}" for r in recorded for n in ("unit", "by", "posterior", "uncertain", "nominal")]
+    kept = [c for c in df.columns if c not in names]
+    stages = {}
+    for r in recorded:
+        f = r.quantity.field
+        stages |= {f"{f}__v": measured(r.quantity, r.value), f"{f}__r": none if r.remark_unit is None else r.remark_unit, f"{f}__s": none if r.source_unit is None else r.source_unit}
+    staged = materialize(df.withColumns(stages).select(*kept, *stages), "stated")
+    seen = histograms(staged, [r.quantity for r in recorded])
+    out = staged
+    for r in recorded:
+        q, f = r.quantity, r.quantity.field
+        mixture = fit_mixture(q, *seen[f])
+        v, said = F.col(f"{f}__v"), F.coalesce(f"{f}__r", f"{f}__s")
+        zero = F.lit(q.zero_is_any) & (v == 0.0)
+        unit = F.when(v.isNotNull(), F.coalesce(said, F.when(zero, q.units[0].name), ranged_unit(unit_ranges(q, mixture), v)))
+        posterior = F.when(v.isNotNull(), F.when(said.isNotNull() | zero, 1.0).otherwise(best_unit(q, mixture, v)["posterior"]))
+        nominal = None
+        for u in q.units:
+            n = u.to_nominal(v)
+            nominal = F.when(F.col(f"{f}_unit") == u.name, n) if nominal is None else nominal.when(F.col(f"{f}_unit") == u.name, n)
+        by = F.when(v.isNotNull(), F.when(F.col(f"{f}__r").isNotNull(), "remark").when(F.col(f"{f}__s").isNotNull(), "source").otherwise("value"))
+        out = out.withColumns({f"{f}_unit": unit, f"{f}_by": by, f"{f}_posterior": posterior}).withColumns({f"{f}_uncertain": F.col(f"{f}_posterior") < sure, f"{f}_nominal": nominal})
+    return out.select(*kept, *names)
+
+
+def with_units(df: DataFrame, quantity: Quantity, value: str, remark_unit: Column | None = None, source_unit: Column | None = None, sure: float = 0.95) -> DataFrame:
+    """``in_common_units`` for one quantity."""
+    return in_common_units(df, [Recorded(quantity, value, remark_unit, source_unit)], sure)
 
 
 def with_source_units(df: DataFrame, sources: DataFrame, key: str, time: str, valid_from: str, description: str, quantities: list[Quantity], most: int = 20_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import current_rows, day_index, finite, usable
@@ -10,7 +10,7 @@ from ..functions.geo import open_cell, position_degrees
 from ..operators.regular import daily_grid
 from ..operators.rolling import trailing_totals
 from ..operators.spatial import inside_regions
-from ..operators.units import H2M, T2M, TP, stated_in_remark, with_source_units, with_units
+from ..operators.units import H2M, T2M, TP, Recorded, in_common_units, stated_in_remark, with_source_units, with_units
 from .tables import table
 
 CELL = ["lonind", "latind"]
@@ -58,7 +58,7 @@ def p3_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days without a reading that an interval of at most 10 days covers."""
-    g = daily_grid(frp_readings(spark, sf_dir), CELL, "date", "frp", 10, counter=False, uncovered=False)
+    g = daily_grid(frp_readings(spark, sf_dir), CELL, "date", "frp", 10, counter=False)
     return g.where("status = 'filled'").select(*CELL, day_index("day").alias("day_since"))
 
 
@@ -67,23 +67,39 @@ def p3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_series(spark, sf_dir).select(*CELL, "day_since", "status")
 
 
-def p3_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counter form of the same operator: the cumulative detections number of a cell's day,
-    read at each detection, spread back over the days."""
-    from pyspark.sql import Window
+def _read_as_counter(spark: SparkSession, sf_dir: str, *restart: Column) -> DataFrame:
+    """Each detection of a cell as a reading of a counter of detections, which starts anew with each value of ``restart``.
+
+    The days before are added up per day and the readings of a day numbered,
+    so no window holds more than a day's readings or a cell's days.
+    """
+    r = frp_readings(spark, sf_dir).withColumn("d", F.to_date("date"))
+    per = r.groupBy(*CELL, "d").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*CELL, *restart).orderBy("d").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*CELL, "d", F.coalesce(before, F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy(*CELL, "d").orderBy("date", "frp"))
+    return r.withColumn("number", number).join(per, [*CELL, "d"]).select(*CELL, "date", (F.col("before") + F.col("number")).alias("total"))
 
-    r = frp_readings(spark, sf_dir).groupBy(*CELL, F.to_date("date").alias("d")).agg(F.count("*").alias("n"), F.max("date").alias("date"))
-    run = r.withColumn("total", F.sum("n").over(Window.partitionBy(*CELL).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)))
-    g = daily_grid(run, CELL, "date", "total", 10)
+
+def _counted(readings: DataFrame) -> DataFrame:
+    g = daily_grid(readings, CELL, "date", "total", 10)
     return g.select(*CELL, day_index("day").alias("day_since"), "n_readings", F.round("amount", 3).alias("detections"), "status")
 
 
+def p3_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter form of the operator: a cell's detections so far, read at each detection, spread back over the days."""
+    return _counted(_read_as_counter(spark, sf_dir))
+
+
+def p3_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a counter that starts anew each year: resets are found and counted from zero."""
+    return _counted(_read_as_counter(spark, sf_dir, F.year("d")))
+
+
 def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     clim = table(spark, sf_dir, "clim_dataset").select("obs_id", "feed", "time", "t2m", "tp", "remark")
     clim = with_source_units(clim, table(spark, sf_dir, "feeds"), "feed", "time", "valid_from", "description", [T2M, TP])
-    for q in (T2M, TP):
-        clim = with_units(clim, q, q.field, stated_in_remark(q, "remark"), F.col(f"{q.field}_source_unit"))
-    return clim
+    return in_common_units(clim.drop("feed", "time"), [Recorded(q, q.field, stated_in_remark(q, "remark"), F.col(f"{q.field}_source_unit")) for q in (T2M, TP)])
 
 
 def _humidity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +157,7 @@ QUERIES = {
     "p3_series": p3_series,
     "p3_status": p3_status,
     "p3_accumulated": p3_accumulated,
+    "p3_counter": p3_counter,
     "p4_found": p4_found,
     "p4_values": p4_values,
     "p6_found": p6_found,
@@ -185,7 +202,23 @@ case_ AS (SELECT 'clim_dataset' AS table_name, obs_id, 't2m' AS field, coalesce(
   UNION ALL SELECT 'clim_dataset', obs_id, 'tp', coalesce(p_said, p_feed) FROM j WHERE NOT isnan(tp) AND tp > 0
   UNION ALL SELECT 'fwi_climatology', obs_id, 'h2m', CASE WHEN regexp_matches(m, 'fraction|0\.\.1|share of one|pecahan|ratio not') THEN 'fraction' WHEN regexp_matches(m, 'x10|by ten|tenths|per mille') THEN 'tenths' WHEN h2m < 2 THEN 'fraction' WHEN h2m > 200 THEN 'tenths' ELSE '%' END FROM h)"""
 
+
+def _counter_sql(restart: str) -> str:
+    return f"""WITH {_POSITIONS}, r0 AS (SELECT CAST(floor((lon - 92.875) / 0.25) AS INTEGER) AS lonind, CAST(floor((lat + 13.125) / 0.25) AS INTEGER) AS latind, datediff('day', DATE '2002-01-01', CAST(date AS DATE)) AS day,
+        epoch(date) - epoch(TIMESTAMP '2002-01-01') AS t, date, frp FROM pos WHERE lon IS NOT NULL AND NOT isnan(frp) AND NOT isinf(frp) AND frp > 0),
+      r1 AS (SELECT *, row_number() OVER (PARTITION BY lonind, latind{restart} ORDER BY date, frp) AS v FROM r0),
+      r2 AS (SELECT *, lag(v) OVER w AS pv, lag(t) OVER w AS pt, lag(day) OVER w AS pd, lead(t) OVER w AS nt, lead(day) OVER w AS nd, lead(v) OVER w AS nv FROM r1 WINDOW w AS (PARTITION BY lonind, latind ORDER BY t, v)),
+      r3 AS (SELECT *, CASE WHEN pv IS NULL THEN 0 WHEN v < pv THEN v ELSE v - pv END AS inc, CASE WHEN nv < v THEN nv ELSE nv - v END AS coming FROM r2),
+      own AS (SELECT lonind, latind, day, count(*) AS n, sum(inc * CASE WHEN day > pd AND day - pd <= 10 AND t > pt THEN (t - greatest(pt, day * 86400.0)) / (t - pt) ELSE 1 END) AS amount FROM r3 GROUP BY ALL),
+      gap AS (SELECT lonind, latind, day, nd, t, nt, coming, unnest(range(day, coalesce(nd, day + 1))) AS dd FROM r3 WHERE nd IS NULL OR nd > day),
+      share AS (SELECT lonind, latind, dd, nd - day <= 10 AS covered, CASE WHEN nd - day <= 10 AND nt > t THEN coming * greatest(0, least(nt, (dd + 1) * 86400.0) - greatest(t, dd * 86400.0)) / (nt - t) ELSE 0 END AS part FROM gap)
+      SELECT s.lonind, s.latind, CAST(dd AS INTEGER) AS day_since, coalesce(n, 0) AS n_readings, round(coalesce(amount, 0) + part, 3) AS detections, CASE WHEN n > 0 THEN 'reading' WHEN covered THEN 'filled' ELSE 'uncovered' END AS status
+      FROM share s LEFT JOIN own o ON o.lonind = s.lonind AND o.latind = s.latind AND o.day = s.dd"""
+
+
 SQL = {
+    "p3_accumulated": _counter_sql(""),
+    "p3_counter": _counter_sql(", year(date)"),
     "p1_found": f"""WITH {_FIRE_ROWS} SELECT lonind, latind, day_since, kind FROM w, unnest([CASE WHEN tp_med_sum_7 > 150.05 THEN 'wet7' END,
       CASE WHEN tp_med_sum_30 < 10.05 AND tp_med_cnt_30 >= 20 THEN 'dry30' END, CASE WHEN dc_med_avg_30 > 700.0333 AND dc_med_cnt_30 >= 20 THEN 'dc30' END,
       CASE WHEN fwi_med_avg_7 > 30.0333 AND fwi_med_cnt_7 >= 4 THEN 'fwi7' END]) AS t(kind) WHERE kind IS NOT NULL""",

@@ -118,8 +118,7 @@ _DURS = (1, 2, 4, 8)
 def ignition_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of detections within the first 1, 2, 4 and 8 days of their cluster."""
     d = detections(spark, sf_dir).where("labs8 IS NOT NULL")
-    first = d.groupBy("labs8").agg(F.min("day").alias("first"))
-    age = d.join(first, "labs8").withColumn("age", F.datediff("day", "first"))
+    age = C.with_first_day(d.select(*CELL, "day", "labs8"), "labs8", "day").withColumn("age", F.datediff("day", "first_day"))
     dur = F.explode(F.filter(F.array(*map(F.lit, _DURS)), lambda x: x > F.col("age")))
     return age.select(*CELL, "day", dur.alias("dur")).groupBy(*CELL, "day", "dur").agg(F.count("*").alias("n"))
 

@@ -30,7 +30,8 @@ def query(sql: str | None = None):
 
 def daily_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current daily weather of each cell, humidity in percent; unusable values are NULL."""
-    raw = with_units(table(spark, sf_dir, "fwi_climatology"), H2M, "h2m", stated_in_remark(H2M, "remark")).withColumn("day", F.to_date("time"))
+    raw = table(spark, sf_dir, "fwi_climatology").select(*CELL, "time", "loaded_at", "t2m", "h2m", "w10", "tp", "remark")
+    raw = with_units(raw, H2M, "h2m", stated_in_remark(H2M, "remark")).withColumn("day", F.to_date("time"))
     return current_rows(raw, [*CELL, "day"], "loaded_at", {"t2m": finite("t2m"), "h2m": F.col("h2m_nominal"), "w10": finite("w10"), "tp": usable("tp")})
 
 
@@ -172,12 +173,13 @@ def calendar_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.expand_climatology(clim, CELL, "2020-01-01", "2020-12-31").select(*CELL, "day", F.round("fwi", 4).alias("fwi"))
 
 
-@query(f"""WITH {_DAILY}, m AS (SELECT lonind, latind, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, avg(fwi) AS mean FROM a1 GROUP BY ALL)
-  SELECT lonind, latind, year, month, round(mean, 4) AS mean, round(mean - avg(mean) OVER (PARTITION BY lonind, latind, month), 4) AS anomaly FROM m""")
+@query(f"""WITH {_DAILY}, m AS (SELECT lonind, latind, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, CAST(sum(CAST(fwi AS DECIMAL(18, 1))) AS DOUBLE) / nullif(count(fwi), 0) AS mean FROM a1 GROUP BY ALL)
+  SELECT lonind, latind, year, month, round(mean + 1e-9, 4) AS mean, round(mean - avg(mean) OVER (PARTITION BY lonind, latind, month) + 1e-9, 4) AS anomaly FROM m""")
 def anomaly_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly means against their climatology."""
-    out = R.anomalies(daily_indices(spark, sf_dir), CELL, "date", "fwi")
-    return out.select(*CELL, "year", "month", F.round("mean", 4).alias("mean"), F.round("anomaly", 4).alias("anomaly"))
+    out = R.anomalies(daily_indices(spark, sf_dir), CELL, "date", "fwi", decimals=1)
+    # means of one-decimal values often end in a half: moved a little, no tie decides the rounding
+    return out.select(*CELL, "year", "month", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("mean", "anomaly")))
 
 
 @query("SELECT cell, mind, avg(v) AS mean, median(v) AS med FROM v_ensemble GROUP BY cell, mind".replace("avg(v) AS mean", "round(avg(v), 6) AS mean"))

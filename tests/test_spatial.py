@@ -77,6 +77,22 @@ def test_within_distance(spark):
     assert len(got) == len(want) and {(i, j) for i, j, _ in got} == want and all(k <= 20.0 for _, _, k in got)
 
 
+def test_leaves_hot_on_both_sides_and_text_ids(spark, monkeypatch):
+    """One place holds half of the rows of either side: its pairs come from a table of tasks, each once."""
+    from emberline.operators import spatial as S
+
+    monkeypatch.setattr(S, "LEAF_ROWS", 10)
+    rng = np.random.default_rng(7)
+    a = [(f"p{i}", *((1.0, 1.0) if i % 2 else map(float, rng.uniform(0, 3, 2)))) for i in range(200)]
+    p = spark.createDataFrame(a, "a string, x double, y double")
+    o = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(a)], "b long, x double, y double")
+    seen = []
+    monkeypatch.setattr(S, "Parts", lambda rows, cols, real=S.Parts: seen.append((rows.max(), cols.max())) or real(rows, cols))
+    got = [(r["a"], r["b"]) for r in within_distance(p, "a", "x", "y", o, "b", "x", "y", 5.0).collect()]
+    want = {(i, j) for i, x, y in a for j, (_, u, v) in enumerate(a) if great_circle_km(x, y, u, v) <= 5.0}
+    assert len(got) == len(want) and set(got) == want and seen[0][0] > 1 and seen[0][1] > 1
+
+
 def test_sites_see_positions_without_degrees(spark, tmp_path):
     from emberline.queries import spatial
 
