@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import finite
-from ..plans.materialize import materialize
+from ..operators.running import running_totals
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, relative_error: float = 0.0) -> DataFrame:
@@ -21,7 +22,7 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str, relative_erro
     """
     v = finite(value)
     if relative_error > 0:
-        ratio = float(__import__("math").log1p(relative_error))
+        ratio = math.log1p(relative_error)
         middle = F.signum(v) * F.exp((F.floor(F.ln(F.abs(v)) / ratio) + 0.5) * ratio)
         v = F.when(v == 0.0, 0.0).otherwise(middle)
     # -0.0 and 0.0 are one value
@@ -40,24 +41,11 @@ def merge_counts(*pieces: DataFrame) -> DataFrame:
 def cumulative(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Counts with ``upto`` (values of the group not above this one) and ``total``.
 
-    The counts are sorted by range over (group, value), so even a group with
-    most of the values spreads over many partitions.  Each partition keeps
-    running sums of its own; the sums of a group in the partitions before are
-    added as offsets.  That table of (group, partition) sums has one row for
-    each group plus one for each partition cut inside of a group.
+    Sorted by range over (group, value), so even a group with most of the
+    values spreads over many partitions; running sums within each partition,
+    and the sums of a group in the partitions before as offsets.
     """
-    spark = counts.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialize(counts.repartitionByRange(parts, *groups, "value").withColumn("part", F.spark_partition_id()), "counts")
-    here = Window.partitionBy("part", *groups)
-    sums = ranged.groupBy(*groups, "part").agg(F.sum("n").alias("s"))
-    before = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*groups, "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"), F.sum("s").over(Window.partitionBy(*groups)).alias("total"))
-    running = ranged.withColumn("run", F.sum("n").over(here.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    on = running["part"] == offsets["part"]
-    for g in groups:
-        on = on & running[g].eqNullSafe(offsets[g])
-    return running.join(offsets, on).select(*(running[g] for g in groups), "value", "n", (F.col("run") + F.col("offset")).alias("upto"), "total")
+    return running_totals(counts, groups, "value", ["n"]).withColumnsRenamed({"upto_n": "upto", "total_n": "total"})
 
 
 def percentiles(df: DataFrame, groups: Sequence[str], value: str, pcts: Sequence[float], relative_error: float = 0.0) -> DataFrame:

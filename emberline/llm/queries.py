@@ -62,11 +62,12 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells whose percentile reaches the limit."""
+    """Cells whose percentile reaches the limit: each field's wanted percentiles are picked first, then held against its limits."""
     cum = cumulative(value_counts(_values(spark, sf_dir), CELL, "value"), CELL)
-    limits = table(spark, sf_dir, "pct_limits").select("limit_id", "field", "pct", "limit_value")
-    hit = cum.join(F.broadcast(limits) if limits.count() <= 10_000 else limits, "field").where(reaches(F.col("pct")))
-    return hit.where("value >= limit_value").select("limit_id", "lonind", "latind")
+    limits = table(spark, sf_dir, "pct_limits").select("limit_id", "field", F.col("pct").cast("double").alias("pct"), "limit_value").where(F.col("field").isin("dc_med", "fwi_med", "tp") & F.col("pct").between(0, 100))
+    wanted = limits.groupBy("field").agg(F.collect_set("pct").alias("pcts"))  # three fields at most, 101 whole percentages each
+    hit = cum.join(F.broadcast(wanted), "field").withColumn("pct", F.explode(F.filter("pcts", lambda p: reaches(p))))
+    return hit.select("field", "pct", "lonind", "latind", "value").join(F.broadcast(limits) if limits.count() <= 10_000 else limits, ["field", "pct"]).where("value >= limit_value").select("limit_id", "lonind", "latind")
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +97,25 @@ def _mix(spark: SparkSession, sf_dir: str) -> Mix:
     return Mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
 
 
+def _word_mix(spark: SparkSession, sf_dir: str) -> Mix:
+    """The same with the size in words, which SQL can count."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.regexp_count("text", F.lit(r"[^ \t\n\r]+")).alias("n_words"))
+    return Mix(docs, "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"), size="n_words")
+
+
+def _shares(mix: Mix) -> DataFrame:
+    r = mix.report()
+    return r.select(F.col("source_key").alias("source"), "target_share", "max_repeats", "docs", "tokens", "mixed_docs", "mixed_tokens", "least_copies", "most_copies", F.round("share_of_size", 5).alias("share_of_size"), F.round("share_of_mix", 5).alias("share_of_mix"), "short")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that stay below their target even if used to the cap."""
+    """Sources that stay below their target in the mix although all their documents are in it as often as is allowed."""
     return _mix(spark, sf_dir).report().where("short").select(F.col("source_key").alias("source"))
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual shares of every source in the mix."""
-    r = _mix(spark, sf_dir).report()
-    return r.select(F.col("source_key").alias("source"), "target_share", "max_repeats", "docs", "tokens", "mixed_docs", "mixed_tokens", "most_copies", F.round("share_of_size", 5).alias("share_of_size"), F.round("share_of_mix", 5).alias("share_of_mix"), "short")
+    """Target and actual shares of every source in the mix, in tokens."""
+    return _shares(_mix(spark, sf_dir))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +123,16 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).records()
 
 
+def p8_word_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares in a mix by words."""
+    return _shares(_word_mix(spark, sf_dir))
+
+
+def p8_word_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies that a mix by words holds."""
+    return _word_mix(spark, sf_dir).records().select("doc_id", F.col("source_key").alias("source"), "copy", F.length("text").alias("n_chars"))
+
+
 def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]+)", 1)
     return table(spark, sf_dir, "documents").where(lang.isin("en", "eng", "english")).select("doc_id", "text")
@@ -156,6 +177,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_mix": p8_mix,
+    "p8_word_report": p8_word_report,
+    "p8_word_mix": p8_word_mix,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
     "p9_agreement": p9_agreement,
@@ -193,10 +216,31 @@ _LEVELS = rf"""english AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS
   levels AS (SELECT e.doc_id, level, odds, CAST(coalesce(n_tokens, 0) AS INT) AS n_tokens FROM english e LEFT JOIN lengths USING (doc_id)
     LEFT JOIN (SELECT doc_id, ['easy', 'middle', 'hard'][arg_max(k, ll) + 1] AS level, round((max(ll) - max(ll, 2)[2]) / any_value(n_tokens), 4) AS odds FROM ll JOIN lengths USING (doc_id) GROUP BY doc_id) USING (doc_id))"""
 
+_KEY = r"lower(regexp_replace(source, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'))"
+_PMF = "exp({k} * ln({rate}) - {rate} - lgamma({k} + 1))"
+_CAPPED = f"(cap - list_sum(list_transform(range(cap), lambda k: (cap - k) * {_PMF.format(k='k', rate='{rate}')})))"
+#: The mix by words: rates by bisection, copies by the cumulative probabilities up to a document's number.
+_WORD_MIX = rf"""d AS (SELECT doc_id, text, {_KEY} AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS n, CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 13) AS UBIGINT) / CAST(1::UBIGINT << 52 AS DOUBLE) AS u FROM documents),
+  h AS (SELECT source, count(*) AS docs, sum(n) AS size FROM d GROUP BY source), t AS (SELECT {_KEY} AS source, target_share AS share, max_repeats AS cap FROM mix_targets),
+  m AS (SELECT t.source, share, cap, coalesce(docs, 0) AS docs, coalesce(size, 0) AS size, (SELECT sum(size) FROM h) AS total, CASE WHEN size > 0 THEN share * (SELECT sum(size) FROM h) / size ELSE 0 END AS mean FROM t LEFT JOIN h ON t.source = h.source),
+  b AS (SELECT source, cap, mean, 0 AS step, CAST(0 AS DOUBLE) AS low, list_filter(list_transform(range(60), lambda i: greatest(1.0, 2 * mean) * pow(2.0, i)), lambda r: {_CAPPED.format(rate='r')} >= mean)[1] AS high FROM m WHERE mean > 0 AND mean < cap
+    UNION ALL SELECT source, cap, mean, step + 1, CASE WHEN {_CAPPED.format(rate='((low + high) / 2)')} < mean THEN (low + high) / 2 ELSE low END, CASE WHEN {_CAPPED.format(rate='((low + high) / 2)')} < mean THEN high ELSE (low + high) / 2 END FROM b WHERE step < 100),
+  p AS (SELECT source, list_transform(range(cap), lambda k: list_sum(list_transform(range(k + 1), lambda j: {_PMF.format(k='j', rate='high')}))) AS upto FROM b WHERE step = 100),
+  c AS (SELECT d.doc_id, d.text, d.source, d.n, m.cap, CASE WHEN mean <= 0 OR m.cap <= 0 THEN 0 WHEN mean >= m.cap THEN m.cap ELSE len(list_filter(upto, lambda x: x <= u)) END AS copies FROM d JOIN m ON d.source = m.source LEFT JOIN p ON p.source = d.source)"""
+_E = "ln(1.01)"
 SQL = {
+    "p5_bounded": f"""WITH {_COUNTED}, z AS (SELECT field, lonind, latind, CASE WHEN value = 0 THEN 0 ELSE exp((floor(ln(value) / {_E}) + 0.5) * {_E}) END AS value FROM v WHERE value IS NOT NULL),
+      r2 AS (SELECT *, row_number() OVER (PARTITION BY field, lonind, latind ORDER BY value) AS k, count(*) OVER (PARTITION BY field, lonind, latind) AS n FROM z)
+      SELECT field, lonind, latind, pct, round(min(value), 6) AS value, n FROM r2, (SELECT unnest([50, 75, 90, 99]) AS pct) WHERE k * 100 >= pct * n GROUP BY field, lonind, latind, pct, n""",
     "p5_found": f"""WITH {_COUNTED}, q AS (SELECT limit_id, lonind, latind, limit_value, min(value) AS value FROM r JOIN pct_limits p ON r.field = p.field WHERE k * 100 >= p.pct * n GROUP BY ALL)
       SELECT limit_id, lonind, latind FROM q WHERE value >= limit_value""",
     "p5_percentiles": f"""WITH {_COUNTED} SELECT field, lonind, latind, pct, min(value) AS value, n FROM r, (SELECT unnest([50, 75, 90, 99]) AS pct) WHERE k * 100 >= pct * n GROUP BY field, lonind, latind, pct, n""",
+    "p8_found": f"""WITH d AS (SELECT {_KEY} AS source, length(text) AS n FROM documents), t AS (SELECT {_KEY} AS source, target_share, max_repeats FROM mix_targets), h AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
+      SELECT t.source FROM t LEFT JOIN h ON t.source = h.source WHERE coalesce(n, 0) * max_repeats < target_share * (SELECT sum(n) FROM h)""",
+    "p8_word_mix": f"WITH RECURSIVE {_WORD_MIX} SELECT doc_id, source, CAST(unnest(range(1, copies + 1)) AS INT) AS copy, CAST(length(text) AS INT) AS n_chars FROM c",
+    "p8_word_report": f"""WITH RECURSIVE {_WORD_MIX}, r AS (SELECT source, sum(n * copies) AS tokens, sum(copies) AS docs, min(copies) FILTER (copies > 0) AS least, max(copies) AS most FROM c GROUP BY source), s AS (SELECT sum(tokens) AS tokens FROM r)
+      SELECT m.source, share AS target_share, CAST(cap AS INT) AS max_repeats, m.docs, CAST(size AS BIGINT) AS tokens, CAST(coalesce(r.docs, 0) AS BIGINT) AS mixed_docs, CAST(coalesce(r.tokens, 0) AS BIGINT) AS mixed_tokens, CAST(coalesce(least, 0) AS INT) AS least_copies, CAST(coalesce(most, 0) AS INT) AS most_copies,
+        round(coalesce(r.tokens, 0) / total, 5) AS share_of_size, round(coalesce(r.tokens, 0) / s.tokens, 5) AS share_of_mix, size * cap < share * total AS short FROM m LEFT JOIN r ON r.source = m.source, s""",
     "p9_found": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g'), '(?i)<[^<>]*>|(?:https?://|www\.)\S+|&#?\w{1,10};', ' ', 'g') AS c
         FROM documents WHERE regexp_extract(lower(trim(lang)), '^([a-z]+)', 1) IN ('en', 'eng', 'english') AND text IS NOT NULL),
       m AS (SELECT doc_id, len(regexp_extract_all(c, '[\pL\pN]+(?:[\'’\-‐‑][\pL\pN]+)*')) AS w, greatest(1, len(regexp_extract_all(c, '[.!?…]+["\'”’)\]]*(?:\s|$)'))) AS s, length(regexp_replace(c, '[^\pL]', '', 'g')) AS n FROM t)

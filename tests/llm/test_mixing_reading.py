@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from emberline.llm import mixing as M
 from emberline.llm.reading import FOLDS, LevelModels, bucket, fold_of, formula_level, is_hard, label_levels, measures, readable, reading_levels, tokens
@@ -12,24 +16,38 @@ from emberline.llm.reading import FOLDS, LevelModels, bucket, fold_of, formula_l
 pytestmark = pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no tokenizer files")
 
 
-@pytest.mark.parametrize("mean,cap", [(0.3, 1), (0.99, 1), (1.7, 2), (0.01, 4), (3.5, 4)])
+def copies(mean, cap, u):
+    least, th = M.copy_thresholds(mean, cap)
+    return least + np.searchsorted(th, u, side="right")
+
+
+@pytest.mark.parametrize("mean,cap", [(0.3, 1), (0.99, 1), (1.7, 2), (0.01, 4), (3.5, 4), (1000.0, 5000), (4990.0, 5000), (9_000.0, 10_000), (800.0, 10_000)])
 def test_capped_poisson(mean, cap):
-    assert abs(M.capped_mean(M.rate_for(mean, cap), cap) - mean) < 1e-9
-    th = M.copy_thresholds(mean, cap)
-    assert len(th) == cap and th == sorted(th)
-    assert abs(sum(sum(t <= (i + 0.5) / 20_000 for t in th) for i in range(20_000)) / 20_000 - mean) < 0.01
+    assert abs(M.capped_mean(M.rate_for(mean, cap), cap) - mean) < 1e-9 * max(1, cap)
+    least, th = M.copy_thresholds(mean, cap)
+    assert th == sorted(th) and least + len(th) <= cap
+    n = copies(mean, cap, (np.arange(20_000) + 0.5) / 20_000)
+    assert abs(n.mean() - mean) < 0.01 * max(1.0, mean / 100) and n.max() <= cap
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 10_000), st.floats(1e-6, 1.2))
+def test_copies_at_any_cap(cap, part):
+    n = copies(part * cap, cap, (np.arange(4_000) + 0.5) / 4_000)
+    assert n.min() >= 0 and n.max() <= cap and (np.diff(n) >= 0).all()
+    assert abs(n.mean() - min(part, 1.0) * cap) <= 0.002 * cap + 0.02
 
 
 def test_thresholds_at_the_ends():
-    assert M.copy_thresholds(5.0, 3) == [-1.0] * 3 and M.rate_for(3.0, 3) is None
-    assert sum(t <= 0.999999 for t in M.copy_thresholds(0.0, 3)) == 0 and sum(t <= 0.5 for t in M.copy_thresholds(0.5, 0)) == 0
+    assert M.copy_thresholds(5.0, 3) == (3, []) and M.rate_for(3.0, 3) is None
+    assert M.copy_thresholds(0.0, 3) == M.copy_thresholds(0.5, 0) == (0, [])
 
 
 def test_token_counts(spark):
     texts = ["Hello world", "", None, "naïve ☃ text", "a" * 200_000, "x <|endoftext|> y"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r["id"]: r["n_tokens"] for r in M.token_counts(df, ["id"], "text").collect()}
-    enc = M._tokenizer(M.TOKENIZER)
+    enc = M._tokenizer(Path(M.TOKENIZER).read_bytes())
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)} and got[0] == 2 and got[1] == got[2] == 0
 
 
@@ -46,6 +64,10 @@ def test_mix(spark):
     rows = mix.records().collect()
     assert len(rows) == sum(r["mixed_docs"] for r in rep.values()) and len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
     assert [r["doc_id"] for r in rows] != sorted(r["doc_id"] for r in rows)
+    assert rep["tiny"]["least_copies"] == 3 and mix.drawn().count() == len(rows)
+    aside = M.Mix(df, "doc_id", "text", "source", targets)
+    aside.small = False  # as with very many targets
+    assert sorted(map(str, aside.report().collect())) == sorted(map(str, rep.values()))
     again = M.Mix(df.repartition(5), "doc_id", "text", "source", targets)
     assert {(r["doc_id"], r["copies"]) for r in again.copies().collect()} == {(r["doc_id"], r["copies"]) for r in mix.copies().collect()}
     empty = M.Mix(df.limit(0), "doc_id", "text", "source", targets)
