@@ -215,7 +215,7 @@ def _assign(tree: KdTree, dims: int, reach: float):
     return run
 
 
-def _link(dims: int, reach: float):
+def _link(dims: int, reach: float, coords: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         if not held:
@@ -228,7 +228,8 @@ def _link(dims: int, reach: float):
             np.minimum.at(least, first, ids)
             many = np.bincount(first, minlength=len(ids))[first] > 1
             keep = (flag & 1 > 0) | (many & (flag > 1))
-            yield pd.DataFrame({"id": ids[keep], "label": least[first][keep], "flag": flag[keep], "alone": ~many[keep]})
+            out = {"id": ids[keep], "label": least[first][keep], "flag": flag[keep], "alone": ~many[keep]}
+            yield pd.DataFrame(out | {f"c{i}": rows[f"c{i}"].to_numpy()[keep] for i in range(dims if coords else 0)})
 
     return run
 
@@ -253,7 +254,7 @@ def boxes_for(rows: int, parallel: int, box_rows: int = BOX_ROWS) -> int:
     return max(1, min(-(-rows // 2_000), max(-(-rows // box_rows), 2 * parallel)))
 
 
-def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, keep_single: bool = False) -> DataFrame:
+def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, keep_single: bool = False, keep_coords: bool = False) -> DataFrame:
     """``id, group``: each point's group is the least id that it hangs together with.
 
     Two points are linked if their Euclidean distance over ``coords`` is at
@@ -262,13 +263,18 @@ def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, k
     a NULL or NaN id or coordinate take no part.  Repeated positions are
     linked like any others, and places that hold many of the rows are worked
     off by one row each; repeated ids count as one point at each place.
+    ``keep_coords`` adds the coordinates as ``c0, c1, ...``.
+
+    The coordinates are worked out once, into a table that is then counted,
+    sampled and placed.
     """
     dims = len(coords)
-    plain = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(coords)))
+    names = [f"c{i}" for i in range(dims)]
+    plain = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(n) for n, c in zip(names, coords, strict=True)))
     sound = F.col("id").isNotNull()
-    for i in range(dims):
-        sound = sound & F.col(f"c{i}").isNotNull() & ~F.isnan(f"c{i}")
-    plain = plain.where(sound)
+    for n in names:
+        sound = sound & F.col(n).isNotNull() & ~F.isnan(n)
+    plain = materialize(plain, "points").where(sound)
     spark = df.sparkSession
     rows = plain.count()
     boxes = boxes_for(rows, spark.sparkContext.defaultParallelism)
@@ -285,21 +291,22 @@ def linked_groups(df: DataFrame, id_col: str, coords: list[str], reach: float, k
         tree = KdTree.fit(sample, boxes, 2 * reach)
     else:
         tree = KdTree.fit(np.zeros((0, dims)), 1, reach)
-    schema = "box int, flag int, id long, " + ", ".join(f"c{i} double" for i in range(dims))
+    kept = names if keep_coords else []
+    doubles = "".join(f", {n} double" for n in names)
     # a hair more than the reach, so that rounding at a cut loses no link
-    placed = plain.mapInPandas(_assign(tree, dims, reach * (1 + 1e-9)), schema).repartitionById(tree.boxes, "box")
-    local = materialize(placed.mapInPandas(_link(dims, reach), "id long, label long, flag int, alone boolean"), "linked")
+    placed = plain.mapInPandas(_assign(tree, dims, reach * (1 + 1e-9)), "box int, flag int, id long" + doubles).repartitionById(tree.boxes, "box")
+    local = materialize(placed.mapInPandas(_link(dims, reach, keep_coords), "id long, label long, flag int, alone boolean" + doubles * keep_coords), "linked")
     seen = local.where("flag > 1 AND NOT alone").select("id", "label")
     edges = seen.groupBy("id").agg(F.min("label").alias("b"), F.collect_set("label").alias("labels")).select(F.explode("labels").alias("a"), "b")
     roots = component_roots(edges)
     own = local.where("flag IN (1, 3)" + ("" if keep_single or hot is not None else " AND NOT alone"))
-    out = own.join(roots, own["label"] == roots["node"], "left").select("id", F.coalesce("root", "label").alias("group"), "alone")
+    out = own.join(roots, own["label"] == roots["node"], "left").select("id", F.coalesce("root", "label").alias("group"), "alone", *kept)
     if hot is None:
         return out.drop("alone")
     # rows of a crowded place are in the group of the one that stood for it; it is never alone
     stood = hot.select("first").distinct()
-    for_all = out.join(F.broadcast(stood), out["id"] == stood["first"])  # as many rows as crowded places
+    for_all = out.join(F.broadcast(stood), out["id"] == stood["first"]).select("first", "group", *kept)  # as many rows as crowded places
     rest = out.join(F.broadcast(stood), out["id"] == stood["first"], "left_anti")
     if not keep_single:
         rest = rest.where("NOT alone")
-    return rest.select("id", "group").unionByName(hot.join(F.broadcast(for_all.select("first", "group")), "first").select("id", "group"))
+    return rest.select("id", "group", *kept).unionByName(hot.join(F.broadcast(for_all), "first").select("id", "group", *kept))
