@@ -29,10 +29,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.keyed import join_per_key
 from ..operators.linking import linked_groups
+from ..plans.materialize import materialize
 
 #: Leaves that Ward's method sees (well above clusters x 2^dims: 200 x 16), and how many times as many the trees before hold.
 MOST_LEAVES = 8_192
@@ -301,11 +303,37 @@ def ward_clusters(df: DataFrame, id_col: str, features: Sequence[str], clusters:
     return parts.groupBy("cluster").agg(F.sum("n").alias("size"), F.sqrt(F.sum("ss") / F.sum("n")).alias("rms_radius"), ordered.alias("typical"))
 
 
+def _members(df: DataFrame, id_col: str, features: Sequence[str], reach: float) -> DataFrame:
+    """``id, group, c0, ...`` of every row that hangs together with another."""
+    return linked_groups(_sound(df, id_col, features), "id", [f"c{j}" for j in range(len(features))], reach, keep_coords=True)
+
+
 def chained_clusters(df: DataFrame, id_col: str, features: Sequence[str], reach: float) -> DataFrame:
     """``cluster, id`` of every row that hangs together with another: exact, by chaining CF leaves within reach.
 
     The cluster is the least id in it.  Rows on their own are left out, so are
     rows with a NULL, NaN or infinite feature or id.
     """
-    rows = _sound(df, id_col, features)
-    return linked_groups(rows, "id", [f"c{j}" for j in range(len(features))], reach).select(F.col("group").alias("cluster"), "id")
+    return linked_groups(_sound(df, id_col, features), "id", [f"c{j}" for j in range(len(features))], reach).select(F.col("group").alias("cluster"), "id")
+
+
+def chained_summary(df: DataFrame, id_col: str, features: Sequence[str], reach: float, typical: int = 3, digits: int = 6) -> DataFrame:
+    """``cluster, size, rms_radius, typical`` of the same clusters: ids nearest to the centroid first, ties by id.
+
+    The CFs of a cluster (rows, sums, sums of squares) are added up per task
+    and then over the tasks; the centroids go to the members in one pass, hot
+    clusters aside, and each task passes on its nearest ones only.  Distances
+    are compared in units of the reach, to ``digits`` decimals.
+    """
+    dims = range(len(features))
+    rows = materialize(_members(df, id_col, features, reach), "members")
+    cf = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.avg(f"c{j}").alias(f"m{j}") for j in dims), *(F.var_pop(f"c{j}").alias(f"s{j}") for j in dims))
+    spread = sum((F.col(f"s{j}") for j in dims), F.lit(0.0))
+    cf = cf.select("group", F.col("n").alias("size"), F.sqrt(spread).alias("rms_radius"), *(f"m{j}" for j in dims))
+    far = sum(((F.col(f"c{j}") - F.col(f"m{j}")) ** 2 for j in dims), F.lit(0.0))
+    near = join_per_key(rows, cf, "group", "size", [c for c in cf.columns if c != "group"], inner=True)
+    near = near.select("group", "size", "rms_radius", F.round(F.sqrt(far) / reach, digits).alias("off"), "id")
+    # the rank is limited in each map task, before the shuffle: no cluster is gathered in one task
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("off", "id"))).where(F.col("rank") <= typical)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda m: m["id"])
+    return best.groupBy(F.col("group").alias("cluster"), "size", "rms_radius").agg(ordered.alias("typical"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import current_rows, day_index, usable
 from ..functions.geo import EARTH_M_SINUSOIDAL, position_xyz
 from ..queries.tables import table
-from .cf_cluster import chained_clusters, ward_clusters
+from .cf_cluster import chained_clusters, chained_summary, ward_clusters
 from .leakage import leaked_passages
 from .mixing import Mix
 from .percentiles import cumulative, merge_counts, pick, reaches, value_counts
@@ -32,17 +32,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fire with its size and its most typical detections, those nearest to its centroid."""
-    d = _detections(spark, sf_dir)
-    found = p2_found(spark, sf_dir).join(d, "row_id")
-    cols = ["px", "py", "pz", "pt"]
-    centre = found.groupBy("cluster_row_id").agg(F.count("*").alias("size"), *(F.avg(c).alias(f"m_{c}") for c in cols))
-    far = sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in cols), F.lit(0.0))
-    near = found.join(centre, "cluster_row_id").select("cluster_row_id", "size", F.round(F.sqrt(far) / REACH, 6).alias("off"), "row_id")
-    # the rank is limited in each map task, before the shuffle: no fire is gathered in one task
-    rank = F.row_number().over(Window.partitionBy("cluster_row_id").orderBy("off", "row_id"))
-    best = near.withColumn("rank", rank).where("rank <= 3")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda m: m["row_id"])
-    return best.groupBy("cluster_row_id", "size").agg(ordered.alias("typical"))
+    return chained_summary(_detections(spark, sf_dir), "row_id", ["px", "py", "pz", "pt"], REACH).select(F.col("cluster").alias("cluster_row_id"), "size", F.array_join("typical", " ").alias("typical"))
 
 
 def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,11 +217,20 @@ _WORD_MIX = rf"""d AS (SELECT doc_id, text, {_KEY} AS source, len(regexp_extract
     UNION ALL SELECT source, cap, mean, step + 1, CASE WHEN {_CAPPED.format(rate='((low + high) / 2)')} < mean THEN (low + high) / 2 ELSE low END, CASE WHEN {_CAPPED.format(rate='((low + high) / 2)')} < mean THEN high ELSE (low + high) / 2 END FROM b WHERE step < 100),
   p AS (SELECT source, list_transform(range(cap), lambda k: list_sum(list_transform(range(k + 1), lambda j: {_PMF.format(k='j', rate='high')}))) AS upto FROM b WHERE step = 100),
   c AS (SELECT d.doc_id, d.text, d.source, d.n, m.cap, CASE WHEN mean <= 0 OR m.cap <= 0 THEN 0 WHEN mean >= m.cap THEN m.cap ELSE len(list_filter(upto, lambda x: x <= u)) END AS copies FROM d JOIN m ON d.source = m.source LEFT JOIN p ON p.source = d.source)"""
+#: Fires by label propagation along the links of all detections.
+_LINKED = f"""pts AS (SELECT row_id AS id, CASE WHEN ok THEN cos(radians(latitude)) * cos(radians(longitude)) ELSE x END AS px, CASE WHEN ok THEN cos(radians(latitude)) * sin(radians(longitude)) ELSE y END AS py, CASE WHEN ok THEN sin(radians(latitude)) ELSE z END AS pz,
+    datediff('day', DATE '2002-01-01', CAST(date AS DATE)) * {DAY!r} AS pt FROM (SELECT *, coalesce(NOT isnan(longitude) AND NOT isnan(latitude) AND longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90, false) AS ok FROM firedata) WHERE ok OR abs(x * x + y * y + z * z - 1) < 1e-6),
+  link AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON b.px >= a.px - {REACH!r} AND b.px <= a.px + {REACH!r} AND a.id <> b.id WHERE (a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2 + (a.pt - b.pt) ** 2 <= {REACH * REACH!r}),
+  lab(id, label) USING KEY (id) AS (SELECT DISTINCT a, a FROM link UNION SELECT l.b, min(r.label) FROM lab r JOIN link l ON l.a = r.id JOIN recurring.lab c ON c.id = l.b WHERE r.label < c.label GROUP BY l.b)"""
 _E = "ln(1.01)"
 SQL = {
     "p5_bounded": f"""WITH {_COUNTED}, z AS (SELECT field, lonind, latind, CASE WHEN value = 0 THEN 0 ELSE exp((floor(ln(value) / {_E}) + 0.5) * {_E}) END AS value FROM v WHERE value IS NOT NULL),
       r2 AS (SELECT *, row_number() OVER (PARTITION BY field, lonind, latind ORDER BY value) AS k, count(*) OVER (PARTITION BY field, lonind, latind) AS n FROM z)
       SELECT field, lonind, latind, pct, round(min(value), 6) AS value, n FROM r2, (SELECT unnest([50, 75, 90, 99]) AS pct) WHERE k * 100 >= pct * n GROUP BY field, lonind, latind, pct, n""",
+    "p2_found": f"WITH RECURSIVE {_LINKED} SELECT label AS cluster_row_id, id AS row_id FROM lab",
+    "p2_fires": f"""WITH RECURSIVE {_LINKED}, m AS (SELECT label, p.* FROM lab JOIN pts p ON p.id = lab.id), c AS (SELECT label, count(*) AS size, avg(px) AS cx, avg(py) AS cy, avg(pz) AS cz, avg(pt) AS ct FROM m GROUP BY label),
+      o AS (SELECT m.label, size, m.id, row_number() OVER (PARTITION BY m.label ORDER BY round(sqrt((px - cx) ** 2 + (py - cy) ** 2 + (pz - cz) ** 2 + (pt - ct) ** 2) / {REACH!r}, 6), m.id) AS k FROM m JOIN c ON c.label = m.label)
+      SELECT label AS cluster_row_id, size, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY k) AS typical FROM o WHERE k <= 3 GROUP BY label, size""",
     "p5_found": f"""WITH {_COUNTED}, q AS (SELECT limit_id, lonind, latind, limit_value, min(value) AS value FROM r JOIN pct_limits p ON r.field = p.field WHERE k * 100 >= p.pct * n GROUP BY ALL)
       SELECT limit_id, lonind, latind FROM q WHERE value >= limit_value""",
     "p5_percentiles": f"""WITH {_COUNTED} SELECT field, lonind, latind, pct, min(value) AS value, n FROM r, (SELECT unnest([50, 75, 90, 99]) AS pct) WHERE k * 100 >= pct * n GROUP BY field, lonind, latind, pct, n""",
