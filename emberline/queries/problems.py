@@ -57,9 +57,9 @@ def p3_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days without a reading that an interval of at most 10 days covers."""
+    """Days without a reading to which an interval of at most 10 days gives a share of its increment (each is above 0)."""
     g = daily_grid(frp_readings(spark, sf_dir), CELL, "date", "frp", 10, counter=False)
-    return g.where("status = 'filled'").select(*CELL, day_index("day").alias("day_since"))
+    return g.where("status = 'filled' AND amount > 0").select(*CELL, day_index("day").alias("day_since"))
 
 
 def p3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
