@@ -13,6 +13,7 @@ from .leakage import leaked_passages
 from .mixing import Mix
 from .percentiles import cumulative, merge_counts, pick, reaches, value_counts
 from .reading import BACKGROUND, BUCKETS, LEVELS, SMOOTHING, SPREAD, LevelModels, is_hard, label_levels, reading_levels
+from .words import INLINE_TAGS
 
 REACH = 2770 / EARTH_M_SINUSOIDAL
 DAY = REACH / 8  # a day as long as so much of the unit sphere
@@ -74,13 +75,18 @@ def p5_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked passages with their places in the reviews."""
-    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["text", "answer"])
+    """Leaked passages with their places in the reviews; questions and answers of 5 to 11 words where they stand whole."""
+    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["text", "answer"], whole=5)
+
+
+def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the places: the words of each run."""
+    return p7_passages(spark, sf_dir).select("doc_id", "item_id", "n_words")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews and the items that leaked into them."""
-    return p7_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+    """Reviews and the items of which 12 words or more in a row leaked into them."""
+    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["text"]).select("doc_id", "item_id").distinct()
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> Mix:
@@ -164,6 +170,7 @@ QUERIES = {
     "p5_bounded": p5_bounded,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
+    "p7_runs": p7_runs,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_mix": p8_mix,
@@ -222,6 +229,23 @@ _LINKED = f"""pts AS (SELECT row_id AS id, CASE WHEN ok THEN cos(radians(latitud
     datediff('day', DATE '2002-01-01', CAST(date AS DATE)) * {DAY!r} AS pt FROM (SELECT *, coalesce(NOT isnan(longitude) AND NOT isnan(latitude) AND longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90, false) AS ok FROM firedata) WHERE ok OR abs(x * x + y * y + z * z - 1) < 1e-6),
   link AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON b.px >= a.px - {REACH!r} AND b.px <= a.px + {REACH!r} AND a.id <> b.id WHERE (a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2 + (a.pt - b.pt) ** 2 <= {REACH * REACH!r}),
   lab(id, label) USING KEY (id) AS (SELECT DISTINCT a, a FROM link UNION SELECT l.b, min(r.label) FROM lab r JOIN link l ON l.a = r.id JOIN recurring.lab c ON c.id = l.b WHERE r.label < c.label GROUP BY l.b)"""
+_WIDE = "".join(map(chr, range(0xFF10, 0xFF5B)))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_INLINE = "|".join(sorted(INLINE_TAGS))
+
+
+def _words_sql(source: str, key: str) -> str:
+    """Normalised words of the texts, step by step as ``words_of`` does it, for the characters that occur."""
+    joined = rf"regexp_replace(text, '([\pL\pN])[-‐‑\x{{00AD}}](?:[ \t\x{{200B}}]*(?:\r?\n|<(?:br|BR)\s*/?>)[ \t]*)+', '\1', 'g')"
+    untagged = rf"regexp_replace(regexp_replace({joined}, '(?i)</?(?:{_INLINE})(?:\s[^<>]*)?/?>', '', 'g'), '(?i)</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>|<!--.*?-->', ' ', 'g')"
+    decoded = rf"list_reduce([replace({untagged}, '&nbsp;', ' ')] || list_transform(range(33, 592), lambda i: '&#' || i || ';'), lambda a, e: replace(a, e, chr(CAST(substr(e, 3, length(e) - 3) AS INT))))"
+    plain = rf"lower(strip_accents(translate(regexp_replace({decoded}, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '{_WIDE}', '{_NARROW}')))"
+    return rf"SELECT {key}, regexp_extract_all({plain}, '[\pL\pN]+') AS w FROM {source} WHERE text IS NOT NULL"
+
+
+_LEAKED = f"""dw AS ({_words_sql("documents", "doc_id")}), iw AS ({_words_sql("eval_items", "item_id")}),
+  dg AS (SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw)), ig AS (SELECT item_id, j, array_to_string(w[j : j + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM iw)),
+  met AS (SELECT doc_id, item_id, i, i - j AS line FROM dg JOIN ig USING (g))"""
 _E = "ln(1.01)"
 SQL = {
     "p5_bounded": f"""WITH {_COUNTED}, z AS (SELECT field, lonind, latind, CASE WHEN value = 0 THEN 0 ELSE exp((floor(ln(value) / {_E}) + 0.5) * {_E}) END AS value FROM v WHERE value IS NOT NULL),
@@ -234,6 +258,9 @@ SQL = {
     "p5_found": f"""WITH {_COUNTED}, q AS (SELECT limit_id, lonind, latind, limit_value, min(value) AS value FROM r JOIN pct_limits p ON r.field = p.field WHERE k * 100 >= p.pct * n GROUP BY ALL)
       SELECT limit_id, lonind, latind FROM q WHERE value >= limit_value""",
     "p5_percentiles": f"""WITH {_COUNTED} SELECT field, lonind, latind, pct, min(value) AS value, n FROM r, (SELECT unnest([50, 75, 90, 99]) AS pct) WHERE k * 100 >= pct * n GROUP BY field, lonind, latind, pct, n""",
+    "p7_found": f"WITH {_LEAKED} SELECT DISTINCT doc_id, item_id FROM met",
+    "p7_runs": f"""WITH {_LEAKED}, runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, line ORDER BY i) AS run FROM met),
+      spans AS (SELECT DISTINCT doc_id, item_id, min(i) AS a, count(*) + 11 AS n FROM runs GROUP BY doc_id, item_id, line, run) SELECT doc_id, item_id, CAST(n AS INT) AS n_words FROM spans""",
     "p8_found": f"""WITH d AS (SELECT {_KEY} AS source, length(text) AS n FROM documents), t AS (SELECT {_KEY} AS source, target_share, max_repeats FROM mix_targets), h AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
       SELECT t.source FROM t LEFT JOIN h ON t.source = h.source WHERE coalesce(n, 0) * max_repeats < target_share * (SELECT sum(n) FROM h)""",
     "p8_word_mix": f"WITH RECURSIVE {_WORD_MIX} SELECT doc_id, source, CAST(unnest(range(1, copies + 1)) AS INT) AS copy, CAST(length(text) AS INT) AS n_chars FROM c",

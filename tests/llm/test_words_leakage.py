@@ -78,10 +78,33 @@ def test_leaked_passages(spark, monkeypatch):
                 if d is not None and i is not None and any(tuple(s[k : k + 12]) in grams for k in range(len(s) - 11)):
                     want.add((d, i))
     assert want
-    for most in (20_000, 7):
-        monkeypatch.setattr(leakage, "ITEMS_PER_AUTOMATON", most)
+    for most in (4_000_000, 600, 60):  # one automaton; first a pass that rules items out; and then still several passes
+        monkeypatch.setattr(leakage, "AUTOMATON_WORDS", most)
         rows = leaked_passages(df, "doc_id", "text", it, "item_id", ["q", "a"]).collect()
         assert {(r["doc_id"], r["item_id"]) for r in rows} == want
         assert all(r["n_words"] >= 12 and len(words_of(dict((d, t) for d, t, _ in docs)[r["doc_id"]][r["start"] : r["end"]])[0]) == r["n_words"] for r in rows)
     assert leaked_passages(df.limit(0), "doc_id", "text", it, "item_id", ["q"]).collect() == []
     assert leaked_passages(df, "doc_id", "text", it.limit(0), "item_id", ["q"]).collect() == []
+
+
+def test_short_items_stand_whole_and_runs_go_on():
+    found = PassageAutomaton([(1, [["a", "b", "c", "d", "e"]]), (2, [["x"]]), (3, [["p", "q", "r"] * 8, ["k", "l", "m"]])], 12, 3)
+    assert found.spans("z a b c d e z, a b c d") == [(1, 2, 11, 5)]
+    assert found.spans("x x") == [] and found.spans("k l m") == [(3, 0, 5, 3)] and found.spans("k l") == []
+    text = " ".join(["p", "q", "r"] * 8)
+    assert max(found.spans("o " + text + " o"), key=lambda s: s[3]) == (3, 2, 2 + len(text), 24)
+    assert {s[3] for s in found.spans("q r " + " ".join(["p", "q", "r"] * 3) + " p")} == {12}
+    assert PassageAutomaton([(1, [["a"] * 5])], 12).spans("a a a a a") == []
+
+
+def test_ruled_out_items(spark, monkeypatch):
+    words = [f"v{i}" for i in range(4000)]
+    items = [(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(200)] + [(900, "one two three four five")]
+    docs = spark.createDataFrame([(1, "so " + " ".join(words[100:113])), (2, " ".join(words[65:72]) + " no"), (3, "well one two three four five.")], "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, q string")
+    plain = it.selectExpr("item_id AS item", "q AS t0")
+    left = {r["item"] for r in leakage._items_to_look_for(docs.select("text"), plain, 12, 5, 1).collect()}
+    assert left == {3, 5, 900}  # seven words of item 3 aren't enough for the result, but for a look
+    monkeypatch.setattr(leakage, "AUTOMATON_WORDS", 100)
+    rows = leaked_passages(docs, "doc_id", "text", it, "item_id", ["q"], whole=5).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in rows} == {(1, 5, 13), (3, 900, 5)}
