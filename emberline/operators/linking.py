@@ -111,12 +111,18 @@ def _pairs(sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb: np.ndarray, most:
 
 
 def link_in_memory(points: np.ndarray, reach: float) -> np.ndarray:
-    """Index of the first point of each point's group, where points within ``reach`` are linked."""
+    """Index of the first point of each point's group, where points within ``reach`` are linked.
+
+    Distances count as within the reach if they exceed it by no more than the
+    coordinates are rounded by.
+    """
     n, d = points.shape
     if n < 2:
         return np.arange(n)
     k = int(np.ceil(np.sqrt(d)))
-    side = reach / k  # the diagonal of a leaf is at most the reach
+    # a tie is a link, also where the coordinates' own rounding makes it a little longer than the reach
+    reach *= 1 + 4 * np.finfo(float).eps * np.abs(points).max() / reach
+    side = reach * (1 + 1e-9) / k  # a hair more, so that points just the reach apart are in neighbouring blocks however they round
     leaf = np.floor((points - points.min(axis=0)) / side).astype(np.int64)
     block = leaf // k
     spans = block.max(axis=0) + 3
@@ -130,13 +136,19 @@ def link_in_memory(points: np.ndarray, reach: float) -> np.ndarray:
     size = np.diff(np.concatenate([first, [n]]))
     pts = points[order]
     lo, hi = np.minimum.reduceat(pts, first, axis=0), np.maximum.reduceat(pts, first, axis=0)
+    reach2 = reach * reach
+    wide = ((hi - lo) ** 2).sum(axis=1) > reach2
+    if wide.any():  # that hair: members of such a leaf aren't linked for certain, so each is a leaf of its own
+        first = np.union1d(first, _ranges(first[wide], size[wide])[0])
+        size = np.diff(np.concatenate([first, [n]]))
+        lo, hi = np.minimum.reduceat(pts, first, axis=0), np.maximum.reduceat(pts, first, axis=0)
     leaves = len(first)
     keys = full[first] // k**d
     bfirst = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     bsize = np.diff(np.concatenate([bfirst, [leaves]]))
     bkeys = keys[bfirst]
 
-    sure, doubt, reach2 = [], [], reach * reach
+    sure, doubt = [], []
     offsets = [o for o in itertools.product((-1, 0, 1), repeat=d) if o > (0,) * d]
     for o in [(0,) * d, *offsets]:
         target = bkeys + int(np.dot(o, stride))

@@ -12,7 +12,7 @@ from emberline.operators.linking import KdTree, link_in_memory, linked_groups
 
 
 def brute(p: np.ndarray, reach: float) -> np.ndarray:
-    near = ((p[:, None] - p[None]) ** 2).sum(axis=2) <= reach * reach
+    near = ((p[:, None] - p[None]) ** 2).sum(axis=2) <= reach * reach * (1 + 1e-12)  # ties however they round
     lab = np.arange(len(p))
     while True:
         new = np.array([lab[row].min() for row in near]) if len(p) else lab
@@ -116,3 +116,12 @@ def test_dbscan_of_detections_links_different_places(spark, sf_dir):
     assert {tuple(r) for r in spatial.QUERIES["dbscan_detections"](spark, sf_dir).collect()} == want
     # places that differ are linked
     assert (near & (h > 1e-15)).any()
+
+
+def test_points_just_the_reach_apart():
+    """A day is an eighth of the reach: eight days at one place are a tie, however the multiples round."""
+    for reach in (2770 / 6371007.181, 0.1, 1 / 3):
+        for start in (0, 1, 777, 6100):
+            days = np.array([start, start + 8, start + 16, start + 25]) * (reach / 8)
+            p = np.column_stack([np.full(4, 0.3), np.full(4, -0.9), np.full(4, 0.31), days])
+            assert link_in_memory(p, reach).tolist() == [0, 0, 0, 3]
