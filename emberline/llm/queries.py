@@ -227,7 +227,7 @@ _WORD_MIX = rf"""d AS (SELECT doc_id, text, {_KEY} AS source, len(regexp_extract
 #: Fires by label propagation along the links of all detections.
 _LINKED = f"""pts AS (SELECT row_id AS id, CASE WHEN ok THEN cos(radians(latitude)) * cos(radians(longitude)) ELSE x END AS px, CASE WHEN ok THEN cos(radians(latitude)) * sin(radians(longitude)) ELSE y END AS py, CASE WHEN ok THEN sin(radians(latitude)) ELSE z END AS pz,
     datediff('day', DATE '2002-01-01', CAST(date AS DATE)) * {DAY!r} AS pt FROM (SELECT *, coalesce(NOT isnan(longitude) AND NOT isnan(latitude) AND longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90, false) AS ok FROM firedata) WHERE ok OR abs(x * x + y * y + z * z - 1) < 1e-6),
-  link AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON b.px >= a.px - {REACH!r} AND b.px <= a.px + {REACH!r} AND a.id <> b.id WHERE (a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2 + (a.pt - b.pt) ** 2 <= {REACH * REACH!r}),
+  link AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON b.px >= a.px - {REACH!r} AND b.px <= a.px + {REACH!r} AND a.id <> b.id WHERE (a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2 + (a.pt - b.pt) ** 2 <= {REACH * REACH * (1 + 4e-12)!r}),
   lab(id, label) USING KEY (id) AS (SELECT DISTINCT a, a FROM link UNION SELECT l.b, min(r.label) FROM lab r JOIN link l ON l.a = r.id JOIN recurring.lab c ON c.id = l.b WHERE r.label < c.label GROUP BY l.b)"""
 _WIDE = "".join(map(chr, range(0xFF10, 0xFF5B)))
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
