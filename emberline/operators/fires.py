@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keyed import join_per_key
+from .linking import linked_groups
+from .running import running_totals
 
 
 def cluster_features(df: DataFrame, label: str, day: str, inclusive: bool = True) -> DataFrame:
@@ -62,3 +64,27 @@ def without_clusters_touching(df: DataFrame, label: str, boxes: DataFrame, lon:
     sizes = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label__")).agg(F.count("*").alias("n__"))
     per = sizes.join(touched, "label__").select(F.col("label__").alias(label), "n__", "touched__")
     return join_per_key(df, per, label, "n__", ["touched__"]).where("touched__ IS NULL").drop("touched__")
+
+
+def dense_labels(groups: DataFrame, group: str, first: int = 0) -> DataFrame:
+    """``group`` replaced by consecutive numbers from ``first``, in its order (C4)."""
+    sizes = groups.groupBy(group).agg(F.count("*").alias("n__rows"), F.lit(1).alias("one__"))
+    rank = running_totals(sizes, [], group, ["one__"]).select(group, "n__rows", (F.col("upto_one__") - 1 + first).alias("rank__"))
+    return join_per_key(groups, rank, group, "n__rows", ["rank__"], inner=True).drop(group).withColumnRenamed("rank__", group)
+
+
+def region_clusters(df: DataFrame, id_col: str, xyz: Sequence[str], day: str, reach: float, durations: Sequence[int] = (1, 8), first: dict[int, int] | None = None) -> DataFrame:
+    """``id_col`` and ``labs<d>`` for each duration: clusters of the detections that hang together in space and within ``d`` days.
+
+    A day counts ``reach / d``.  Labels are consecutive in the order of the
+    clusters' least ids, from ``first[d]`` on (to go on from another region's);
+    a lone detection is a cluster of its own.  Rows without a position or day
+    have no label and are left out.
+    """
+    out = None
+    for d in durations:
+        p = df.select(F.col(id_col).cast("long").alias("id"), *xyz, (F.col(day) * (reach / d)).alias("t__"))
+        g = dense_labels(linked_groups(p, "id", [*xyz, "t__"], reach, keep_single=True), "group", (first or {}).get(d, 0))
+        g = g.select(F.col("id").alias(id_col), F.col("group").alias(f"labs{d}"))
+        out = g if out is None else out.join(g, id_col)
+    return out

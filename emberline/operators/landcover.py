@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.met import to_height
+
 
 def dense_years(loss: DataFrame, cell: str, first: int, last: int, kinds: Sequence[str] = ("prim", "sec")) -> DataFrame:
     """``cell, year`` and one column of loss per kind, 0 where none, for every year of every cell with any loss."""
@@ -79,3 +81,35 @@ def typed_loss(loss: DataFrame, primary: DataFrame, lon: str, lat: str, class_co
     p = primary.select(key(primary, lon).alias("x__"), key(primary, lat).alias("y__"), F.col(class_col).alias("c__")).where("c__ = 2").distinct()
     left = loss.withColumns({"x__": key(loss, lon), "y__": key(loss, lat)})
     return left.join(p, ["x__", "y__"], "left").withColumn("kind", F.when(F.col("c__") == 2, 2).otherwise(1)).drop("x__", "y__", "c__")
+
+
+def typed_loss_columns(loss: DataFrame, keys: Sequence[str], year: str, kind: str, years: Sequence[int]) -> DataFrame:
+    """Pixels per cell in two columns a year, ``<year>_loss`` (kind 1) and ``<year>_loss_prim`` (kind 2), 0 where none."""
+    cols = [F.count_if((F.col(year) == y) & (F.col(kind) == k)).alias(f"{y}_loss{tail}") for y in years for k, tail in ((1, ""), (2, "_prim"))]
+    return loss.groupBy(*keys).agg(*cols)
+
+
+def months_to_year_end(months: DataFrame, keys: Sequence[str], mind: str, value: str) -> DataFrame:
+    """The months with a row of every cell from the first to the end of the last year of all, 0 where a cell has none.
+
+    ``mind``: months counted from 1 in a January.
+    """
+    ends = months.agg(F.min(mind).alias("low__"), (F.ceil(F.max(mind) / 12) * 12).cast("int").alias("high__"))
+    every = months.select(*keys).distinct().join(F.broadcast(ends)).where("low__ IS NOT NULL")  # one row
+    every = every.select(*keys, F.explode(F.sequence(F.col("low__").cast("int"), "high__")).alias(mind))
+    return every.join(months.select(*keys, F.col(mind).cast("int").alias(mind), value), [*keys, mind], "left").fillna(0, [value])
+
+
+def with_static(df: DataFrame, keys: Sequence[str], elevation: DataFrame, geopotential: str, peat: DataFrame, depth: str) -> DataFrame:
+    """Adds ``dem`` (height in m from the cell's geopotential, NULL where unknown) and ``peatd`` (sum of the cell's peat, 0 where none)."""
+    dem = elevation.groupBy(*keys).agg(F.avg(to_height(geopotential)).alias("dem"))
+    summed = peat.groupBy(*keys).agg(F.sum(depth).alias("peatd"))
+    return df.drop("dem", "peatd").join(dem, list(keys), "left").join(summed, list(keys), "left").fillna(0, ["peatd"])
+
+
+def label_mask(*rasters: DataFrame, value: str) -> DataFrame:
+    """Pixels of several rasters of which the value is above 0, with the value 1."""
+    out = rasters[0]
+    for r in rasters[1:]:
+        out = out.unionByName(r)
+    return out.where(F.col(value) > 0).withColumn(value, F.lit(1))

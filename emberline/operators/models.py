@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
+from .scores import balance, confusion, scores, stratified_folds
+
+#: Training rows that a task of a pass takes at least.
+ROWS_PER_TASK = 100_000
 MODELS = ("logistic", "svm_linear", "neural", "forest")
 
 
@@ -18,7 +25,7 @@ def classifier(kind: str, features: int, label: str = "label"):
 
     common = {"featuresCol": "scaled", "labelCol": label}
     if kind == "logistic":
-        return c.LogisticRegression(**common, elasticNetParam=1.0, regParam=1e-4, weightCol="weight__", maxIter=50)
+        return c.LogisticRegression(**common, elasticNetParam=1.0, regParam=1e-4, weightCol="weight__", maxIter=20, tol=1e-4)
     if kind == "svm_linear":
         return c.LinearSVC(**common, weightCol="weight__", maxIter=50)
     if kind == "neural":
@@ -28,40 +35,82 @@ def classifier(kind: str, features: int, label: str = "label"):
     raise ValueError(f"{kind!r} is none of {MODELS}")
 
 
-def pipeline(kind: str, features: Sequence[str], label: str = "label"):
-    """Assembler, standard scaler (mean and deviation of the training rows) and classifier."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+@dataclass(frozen=True)
+class Fitted:
+    """A classifier with the means and deviations of its training rows."""
+
+    features: tuple[str, ...]
+    means: tuple[float, ...]
+    deviations: tuple[float, ...]
+    model: object
+
+    def scaled(self, df: DataFrame) -> DataFrame:
+        """Adds the vector ``scaled`` of the features less their means over their (population) deviations."""
+        z = [((F.col(c).cast("double") - m) / (s or 1.0)) for c, m, s in zip(self.features, self.means, self.deviations, strict=True)]
+        return df.withColumn("scaled", array_to_vector(F.array(*z)))
 
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="vector", handleInvalid="skip"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), classifier(kind, len(features), label)])
 
+def _complete(features: Sequence[str]) -> Column:
+    ok = F.lit(True)
+    for c in features:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return ok
 
-def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", positive_weight: float = 1.0):
-    return pipeline(kind, features, label).fit(df.withColumn("weight__", F.when(F.col(label) == 1, positive_weight).otherwise(1.0)))
 
+def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", positive_weight: float = 1.0) -> Fitted | None:
+    """A classifier of the rows with all features and a label; None where there are none of them or all have one label."""
+    d = df.where(_complete(features) & F.col(label).isNotNull())
+    stats = d.agg(F.countDistinct(label), F.count("*"), *(f(F.col(c).cast("double")) for c in features for f in (F.avg, F.stddev_pop))).first()
+    if stats[0] < 2:
+        return None
+    plain = Fitted(tuple(features), tuple(stats[2::2]), tuple(stats[3::2]), None)
+    d = d.coalesce(-(-stats[1] // ROWS_PER_TASK))  # each of the many passes is over few tasks where there are few rows
+    d = plain.scaled(d.withColumns({"weight__": F.when(F.col(label) == 1, positive_weight).otherwise(1.0), label: F.col(label).cast("double")}))
+    return replace(plain, model=classifier(kind, len(features), label).fit(d))
 
-def predict(model, df: DataFrame, name: str = "prob") -> DataFrame:
-    """Adds the probability of label 1 (for machines without one: the logistic of the margin)."""
+
+def predict(fitted: Fitted | None, df: DataFrame, name: str = "prob") -> DataFrame:
+    """Adds the probability of label 1 (for machines without one: the logistic of the margin); NULL where a feature is missing."""
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df.withColumn("weight__", F.lit(1.0)))
+    none = F.lit(None).cast("double")
+    if fitted is None:
+        return df.withColumn(name, none)
+    ok = _complete(fitted.features)
+    out = fitted.model.transform(fitted.scaled(df.where(ok).withColumn("weight__", F.lit(1.0))))
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
     else:
         p = 1.0 / (1.0 + F.exp(-vector_to_array("rawPrediction")[1]))
-    return out.withColumn(name, p).select(*df.columns, name)
+    kept = [c for c in df.columns if c != name]
+    return out.withColumn(name, p).select(*kept, name).unionByName(df.where(~ok).withColumn(name, none).select(*kept, name))
 
 
 def leave_one_out(df: DataFrame, features: Sequence[str], label: str, group: str, kind: str = "logistic", positive_weight: float = 1.0) -> DataFrame:
-    """Every row with the probability by a model of all other groups (years); one fit per group, of which there are few."""
-    from ..plans.materialize import materialize
+    """Every row with the probability by a model of all other groups (years, folds); one fit per group, of which there are few.
 
+    Rows with a missing feature have a NULL probability; so have those of a
+    NULL group, which train all the models.
+    """
     d = materialize(df, "training")
-    out = None
-    for (g,) in sorted(d.select(group).distinct().collect()):
-        part = predict(fit(d.where(F.col(group) != g), features, label, kind, positive_weight), d.where(F.col(group) == g))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else d.withColumn("prob", F.lit(None).cast("double"))
+    out = d.where(F.col(group).isNull()).withColumn("prob", F.lit(None).cast("double"))
+    for (g,) in sorted(d.where(F.col(group).isNotNull()).select(group).distinct().collect()):
+        out = out.unionByName(predict(fit(d.where(~F.col(group).eqNullSafe(g)), features, label, kind, positive_weight), d.where(F.col(group) == g)))
+    return out
+
+
+def fit_predict(train: DataFrame, target: DataFrame, features: Sequence[str], label: str, order: Sequence[str], kind: str = "logistic", most: int | None = None, seed: int = 0) -> DataFrame:
+    """Probabilities for a target table by a model of the balanced training rows: balance, sample, scale, fit and predict in one call."""
+    return predict(fit(balance(train, label, order, seed, most), features, label, kind), target)
+
+
+def fold_scores(df: DataFrame, features: Sequence[str], label: str, order: Sequence[str], folds: int = 5, kind: str = "logistic", seed: int = 0) -> DataFrame:
+    """``fold`` and its AUC, balanced accuracy, accuracy, precision, recall and kappa, by stratified folds."""
+    p = leave_one_out(stratified_folds(df, label, order, folds, seed), features, label, "fold", kind)
+    c = confusion(p, ["fold"], label, "prob")
+    rate = lambda a, b: F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double"))
+    c = c.select("fold", ((rate("tp", "fn") + rate("tn", "fp")) / 2).alias("balanced_accuracy"), ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).alias("accuracy"), "precision", "recall", "kappa")
+    return scores(p, ["fold"], label, "prob").select("fold", "auc").join(c, "fold")
 
 
 def _two_lines(n, sx, sy, sxx, sxy, syy):

@@ -28,6 +28,22 @@ def month_end(day: str | Column) -> Column:
     return F.last_day(as_col(day).cast("date"))
 
 
+def month_bin_start(ts: str | Column) -> Column:
+    """First day of the month that a time falls into where months are closed on the right: the first midnight belongs to the month before."""
+    return F.trunc((as_col(ts).cast("timestamp_ntz") - F.expr("INTERVAL '1' MICROSECOND")).cast("date"), "month")
+
+
+def season_block(day: str | Column, first: int, last: int, month: int = 4, dom: int = 21) -> Column:
+    """Year of the block that a day belongs to: blocks run from the day after ``dom.month`` to that day of the next year.
+
+    The first block starts with the year ``first``, the last one (``last - 1``)
+    ends with the year ``last``; days of other years are in none.
+    """
+    d = as_col(day).cast("date")
+    own = F.when((F.month(d) * 100 + F.dayofmonth(d)) > month * 100 + dom, F.year(d)).otherwise(F.year(d) - 1)
+    return F.when(F.year(d).between(first, last), F.greatest(F.lit(first), F.least(F.lit(last - 1), own))).cast("int")
+
+
 def month_index_date(mind: str | Column, base: str = "2001-12-31") -> Column:
     """Month end of month index 1, 2, ... after ``base``."""
     return F.last_day(F.add_months(F.lit(base).cast("date"), as_col(mind).cast("int")))
@@ -104,6 +120,19 @@ def stitch(observed: DataFrame, forecast: DataFrame, keys: Sequence[str], day: s
     return obs.withColumn("origin", F.lit("obs")).unionByName(forecast.withColumn("origin", F.lit("fc")), allowMissingColumns=True)
 
 
+def bridge(runs: DataFrame, run: str, day: str, observed_until: str, start: str) -> DataFrame:
+    """Days from earlier runs for the months that end after the observations and up to the forecast's ``start``.
+
+    ``run``: first day of the month that a run was started for.  Of each of
+    those months its own run counts, from the day before the month to the
+    first day of the next one; days in two of them are kept from both.
+    """
+    until, begin = F.lit(observed_until).cast("date"), F.lit(start).cast("date")
+    first, end = F.col(run).cast("date"), F.last_day(F.col(run))
+    wanted = (end > until) & (end <= begin)
+    return runs.where(wanted & F.col(day).between(F.date_sub(first, 1), F.add_months(first, 1)))
+
+
 def deaccumulate(value: str, keys: Sequence[str], order: str) -> Column:
     """Difference to the row before; the first is kept."""
     w = Window.partitionBy(*keys).orderBy(order)

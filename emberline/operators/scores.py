@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_totals
@@ -91,21 +91,45 @@ def reliability(df: DataFrame, group: Sequence[str], label: str, prob: str, bins
     return d.groupBy(*group, "bin").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("hits")).withColumn("ratio", F.col("hits") / F.col("n"))
 
 
-def balance(df: DataFrame, label: str, order: Sequence[str], seed: int | None = None) -> DataFrame:
-    """As many rows of each label as the rarest has: the first by ``order``, or by a seeded hash of it.
+def hash_order(seed: int, order: Sequence[str]) -> Column:
+    """A number of 60 bits that depends on the seed and the columns only."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
-    Every row gets its rank among the rows of its label from exact ranks per
-    hash bucket and bucket offsets, so no label is sorted in one task.
+
+def _ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], seed: int) -> DataFrame:
+    """Adds ``rank__`` (from 1) within the group in the order of a seeded hash, and the group's rows ``size__``."""
+    d = running_totals(df.withColumns({"h__": hash_order(seed, order), "one__": F.lit(1)}), group, "h__", ["one__"])
+    return d.withColumnsRenamed({"upto_one__": "rank__", "total_one__": "size__"}).drop("h__", "one__")
+
+
+def balance(df: DataFrame, label: str, order: Sequence[str], seed: int = 0, most: int | None = None) -> DataFrame:
+    """As many rows of each label as the rarest has (at most ``most``), the first by a seeded hash of ``order``.
+
+    Rows with a NULL label are left out; no label is sorted in one task.
+    """
+    d = _ranked(df.where(F.col(label).isNotNull()), [label], order, seed)
+    least = d.groupBy(label).agg(F.max("size__").alias("n")).agg(F.min("n")).first()[0] or 0
+    return d.where(F.col("rank__") <= min(least, least if most is None else most)).select(*df.columns)
+
+
+def draw(df: DataFrame, n: int, order: Sequence[str], seed: int = 0, replace: bool = False) -> DataFrame:
+    """``n`` rows at random, the same wherever they are computed; with ``replace`` a row may come several times (M5).
+
+    Without it, all rows where there are fewer.
     """
-    key = F.xxhash64(F.lit(seed or 0), *order)
-    d = df.withColumns({"h__": key, "b__": F.shiftrightunsigned(key, 52)})
-    per = d.groupBy(label, "b__").agg(F.count("*").alias("c__"))
-    before = Window.partitionBy(label).orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.withColumn("off__", F.coalesce(F.sum("c__").over(before), F.lit(0))).drop("c__")
-    least = d.groupBy(label).count().agg(F.min("count").alias("least__"))
-    rank = F.row_number().over(Window.partitionBy(label, "b__").orderBy("h__", *order)) + F.col("off__")
-    out = d.join(F.broadcast(offs), [label, "b__"]).withColumn("rank__", rank)  # at most labels x 4096 rows
-    return out.join(F.broadcast(least)).where(F.col("rank__") <= F.col("least__")).drop("h__", "b__", "off__", "rank__", "least__")
+    d = _ranked(df, [], order, seed)
+    if not replace:
+        return d.where(F.col("rank__") <= n).select(*df.columns)
+    rows = d.agg(F.max("size__")).first()[0] or 0
+    wanted = df.sparkSession.range(n if rows else 0).select((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, rows))) + 1).alias("rank__"))
+    return d.join(wanted.groupBy("rank__").agg(F.count("*").alias("times__")), "rank__").withColumn("t__", F.explode(F.sequence(F.lit(1), F.col("times__").cast("int")))).select(*df.columns)
+
+
+def stratified_folds(df: DataFrame, label: str, order: Sequence[str], folds: int = 5, seed: int = 0) -> DataFrame:
+    """Adds ``fold`` (0 .. folds - 1): each fold has the same number of rows of every label, but for one."""
+    d = _ranked(df.where(F.col(label).isNotNull()), [label], order, seed)
+    return d.withColumn("fold", F.pmod(F.col("rank__") - 1, F.lit(folds)).cast("int")).drop("rank__", "size__")
 
 
 def systematic_sample(df: DataFrame, label: str, order: str, keep_each: int | None = None) -> DataFrame:

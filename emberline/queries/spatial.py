@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import finite
+from ..functions.clean import day_index, finite
 from ..functions.geo import NAMED_BOXES, BBox, Grid, cell_area_km2, haversine_km, position_degrees, position_xyz, tile_lonlat, tile_of, unit_xyz
 from ..operators import fires as C
 from ..operators import gridding as G
 from ..operators.linking import linked_groups
-from ..operators.resample import month_index
+from ..operators.resample import month_index, season_block
+from ..operators.spatial import inside_regions, within_distance
 from ..plans.views import VIEWS, view, with_views
+from ..sources.readers import tile_of_file
 from .problems import _FIRE_ROWS, _POSITIONS, current_indices
 from .tables import table
 
 CELL = ["lonind", "latind"]
 GRID = Grid(NAMED_BOXES["indonesia"], 0.25)
-LONE_KM = 20.0  # less than a step of the test points: only repeated places are linked
 NEAR_KM = 0.8  # reach of the detections' clusters
 QUERIES, SQL = {}, {}
 
@@ -72,22 +75,19 @@ def grid_monthly_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dense_counts(d, CELL, "mind", F.sequence(F.lit(low or 0), F.lit(high or 0)))
 
 
-@query(f"""{_DET}, d AS (SELECT lonind // 10 AS i, latind // 10 AS j, day, count(*) AS n FROM det GROUP BY ALL), b AS (SELECT min(day) AS a, max(day) AS z FROM d),
-  e AS (SELECT * FROM (SELECT DISTINCT i, j FROM d), (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM b))
-  SELECT CAST(i AS INT) AS lonind, CAST(j AS INT) AS latind, day, coalesce(n, 0) AS n FROM e LEFT JOIN d USING (i, j, day)""")
-def grid_daily_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense daily count cube over all days, in blocks of 10 x 10 cells; of the cells: ``grid_daily_cells``."""
-    d = detections(spark, sf_dir).select(*(F.floor(F.col(c) / 10).cast("int").alias(c) for c in CELL), "day")
-    low, high = d.agg(F.min("day"), F.max("day")).first()
-    return G.dense_counts(d, CELL, "day", F.sequence(F.lit(low).cast("date"), F.lit(high).cast("date")))
-
-
 @query()
 def grid_daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense daily count cube: every cell with a detection, all days."""
     return G.dense_daily(detections(spark, sf_dir).select(*CELL, "day"), CELL, "day")
 
 
+@query(f"""{_DET}, b AS (SELECT datediff('day', min(day), max(day)) + 1 AS days FROM det) SELECT lonind, latind, days, days - count(DISTINCT day) AS empty, CAST(count(*) AS BIGINT) AS n FROM det, b GROUP BY lonind, latind, days""")
+def grid_daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days, days without a detection and detections of each cell in that cube."""
+    cube = grid_daily_cells(spark, sf_dir)
+    return cube.groupBy(*CELL).agg(F.count("*").alias("days"), F.count_if(F.col("n") == 0).alias("empty"), F.sum("n").alias("n"))
+
+
 @query(f"""{_DET}, s AS (SELECT *, CASE WHEN labs8 IS NOT NULL THEN datediff('day', min(CAST(date AS DATE)) OVER (PARTITION BY labs8), max(CAST(date AS DATE)) OVER (PARTITION BY labs8)) + 1 END AS dur, CASE WHEN labs8 IS NOT NULL THEN count(*) OVER (PARTITION BY labs8) END AS size FROM det)
   SELECT lonind, latind, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, count(*) AS frp, nullif(count(*) FILTER (daynight = 'D'), 0) AS frpD, nullif(count(*) FILTER (daynight = 'N'), 0) AS frpN, median(dur) AS duration, median(size) AS fsize FROM s GROUP BY ALL""")
 def grid_daynight_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,44 +202,86 @@ def exclude_clusters_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.without_clusters_touching(detections(spark, sf_dir).select("row_id", "labs8", "longitude", "latitude"), "labs8", boxes).select("row_id", "labs8")
 
 
-@query()
+def _linked(points: str, reach: float) -> str:
+    """Label propagation over all links of ``points`` (a table ``id, x, y, z, t``): the least id of each point's group."""
+    return f"""pts AS ({points}), link AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON b.x >= a.x - {reach!r} AND b.x <= a.x + {reach!r} WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 + (a.t - b.t) ** 2 <= {reach * reach * (1 + 4e-12)!r}),
+  lab(id, label) USING KEY (id) AS (SELECT id, id FROM pts UNION SELECT l.b, min(r.label) FROM lab r JOIN link l ON l.a = r.id JOIN recurring.lab c ON c.id = l.b WHERE r.label < c.label GROUP BY l.b)"""
+
+
+def _xyz(lon: str, lat: str) -> str:
+    return f"cos(radians({lat})) * cos(radians({lon})) AS x, cos(radians({lat})) * sin(radians({lon})) AS y, sin(radians({lat})) AS z"
+
+
+_REACH_20 = 2770 / 6371007.181 * 20
+_REACH = 2770 / 6371007.181
+_CHORD = 2 * math.sin(NEAR_KM / 6371.0 / 2)
+_FIRE_XYZ = "SELECT row_id AS id, CASE WHEN ok THEN cos(radians(latitude)) * cos(radians(longitude)) ELSE x END AS x, CASE WHEN ok THEN cos(radians(latitude)) * sin(radians(longitude)) ELSE y END AS y, CASE WHEN ok THEN sin(radians(latitude)) ELSE z END AS z, {t} AS t FROM (SELECT *, coalesce(NOT isnan(longitude) AND NOT isnan(latitude) AND longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90, false) AS ok FROM firedata) WHERE ok OR abs(x * x + y * y + z * z - 1) < 1e-6"
+
+
+@query(f"""WITH RECURSIVE vfp AS ({VIEWS["v_fire_points"]}), {_linked(f"SELECT row_id AS id, {_xyz('longitude', 'latitude')}, datediff('day', DATE '2024-01-01', date) * {_REACH_20 / 8!r} AS t FROM vfp", _REACH_20)} SELECT id AS row_id, label FROM lab""")
 def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Space-time clusters of the event points for 8 days, a label for every point."""
-    reach = 2770 / 6371007.181 * 20
+    """Space-time clusters of the event points for 8 days, a label for every point."""
     x, y, z = unit_xyz("longitude", "latitude")
-    p = view(spark, sf_dir, "v_fire_points").select("row_id", x.alias("x"), y.alias("y"), z.alias("z"), (F.datediff("date", F.lit("2024-01-01")) * reach / 8).alias("t"))
-    return linked_groups(p, "row_id", ["x", "y", "z", "t"], reach, keep_single=True).select(F.col("id").alias("row_id"), F.col("group").alias("label"))
+    p = view(spark, sf_dir, "v_fire_points").select("row_id", x.alias("x"), y.alias("y"), z.alias("z"), (F.datediff("date", F.lit("2024-01-01")) * (_REACH_20 / 8)).alias("t"))
+    return linked_groups(p, "row_id", ["x", "y", "z", "t"], _REACH_20, keep_single=True).select(F.col("id").alias("row_id"), F.col("group").alias("label"))
 
 
-_DBSCAN = f"""WITH RECURSIVE vfp AS ({VIEWS["v_fire_points"]}), place AS (SELECT longitude, latitude, min(row_id) AS id, count(*) AS n FROM vfp GROUP BY ALL), link AS (
-    SELECT a.id AS a, b.id AS b FROM place a JOIN place b ON abs(a.longitude - b.longitude) <= 0.3 AND abs(a.latitude - b.latitude) <= 0.3
-      AND 2 * 6371.0 * asin(sqrt(power(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * power(sin(radians(b.longitude - a.longitude) / 2), 2))) <= {LONE_KM}),
-  reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), root AS (SELECT a AS id, min(b) AS label, count(*) AS k FROM reach GROUP BY a)
-  SELECT p.row_id, CASE WHEN q.n > 1 OR r.k > 1 THEN r.label ELSE -1 END AS label FROM vfp p JOIN place q USING (longitude, latitude) JOIN root r ON r.id = q.id"""
+_DAYS_SINCE = "datediff('day', DATE '2002-01-01', CAST(date AS DATE))"
+_BY_DURATION = ", ".join(f"l{d} AS (WITH RECURSIVE {_linked(_FIRE_XYZ.format(t=_DAYS_SINCE + f' * {_REACH / d!r}'), _REACH)} SELECT id, dense_rank() OVER (ORDER BY label) - 1 + {first} AS labs{d} FROM lab)" for d, first in ((1, 0), (8, 1000)))
 
 
-@query(_DBSCAN)
-def dbscan_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the event points' equal places (the reach is below their step); lone points are -1.  C1: ``dbscan_detections``."""
-    import math
+@query(f"WITH {_BY_DURATION} SELECT id AS row_id, labs1, labs8 FROM l1 JOIN l8 USING (id)")
+def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all detections for 1 and 8 days, numbered on from another region's for the latter."""
+    x, y, z = position_xyz()
+    d = table(spark, sf_dir, "firedata").select("row_id", x.alias("x"), y.alias("y"), z.alias("z"), day_index("date").alias("day"))
+    return C.region_clusters(d, "row_id", ["x", "y", "z"], "day", _REACH, (1, 8), {8: 1000})
 
-    # great-circle distance <= d  <=>  chord <= 2 sin(d / 2R)
-    chord = 2 * math.sin(LONE_KM / 6371.0 / 2)
-    x, y, z = unit_xyz("longitude", "latitude")
-    p = view(spark, sf_dir, "v_fire_points").select("row_id", x.alias("x"), y.alias("y"), z.alias("z"))
-    g = linked_groups(p, "row_id", ["x", "y", "z"], chord)
-    return p.select("row_id").join(g, p["row_id"] == g["id"], "left").select("row_id", F.coalesce("group", F.lit(-1)).alias("label"))
 
+@query(f"""{_DET}, b AS (SELECT *, CASE WHEN month(day) * 100 + day(day) > 421 THEN year(day) ELSE year(day) - 1 END AS own FROM det) SELECT CAST(greatest(2017, least(2018, own)) AS INT) AS block, count(*) AS n, min(day) AS first, max(day) AS last FROM b WHERE year(day) BETWEEN 2017 AND 2019 GROUP BY ALL""")
+def season_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections by blocks from 22 April to 21 April."""
+    d = detections(spark, sf_dir).withColumn("block", season_block("day", 2017, 2019)).where("block IS NOT NULL")
+    return d.groupBy("block").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
-@query()
+
+@query(f"""{_DET}, a AS (SELECT labs8 AS l, bool_or(coalesce(daynight = 'N', false)) AS night_any, bool_or(coalesce(frp > 100, false)) AS strong_any FROM det WHERE labs8 IS NOT NULL GROUP BY 1) SELECT row_id, labs8, night_any, strong_any FROM det LEFT JOIN a ON labs8 = l""")
+def cluster_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any detection of the row's cluster was at night or strong (L17's form of any-primary and any-peat)."""
+    d = detections(spark, sf_dir).select("row_id", "labs8", (F.col("daynight") == "N").alias("night"), (F.col("frp") > 100).alias("strong"))
+    return C.any_in_cluster(d, "labs8", {"night_any": "night", "strong_any": "strong"}).select("row_id", "labs8", "night_any", "strong_any")
+
+
+_HOURS = "CAST(year({t}) AS INT) AS y, CAST(month({t}) AS INT) AS m, CAST(day({t}) AS INT) AS d, CAST(hour({t}) AS INT) AS h"
+
+
+@query(f"""{_DET}, f AS (SELECT {_HOURS.format(t="date")}, count(*) AS fires FROM det GROUP BY ALL), w AS (SELECT {_HOURS.format(t="time")}, count(*) AS readings, max(CASE WHEN NOT isnan(ssrd) AND ssrd < 1e9 THEN ssrd END) AS ssrd FROM clim_dataset GROUP BY ALL) SELECT y, m, d, h, fires, readings, ssrd FROM f JOIN w USING (y, m, d, h)""")
+def hourly_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two series joined on year, month, day and hour."""
+    parts = lambda t: [f(t).alias(n) for f, n in ((F.year, "y"), (F.month, "m"), (F.dayofmonth, "d"), (F.hour, "h"))]
+    f = detections(spark, sf_dir).groupBy(*parts("date")).agg(F.count("*").alias("fires"))
+    sun = finite("ssrd")
+    w = table(spark, sf_dir, "clim_dataset").groupBy(*parts("time")).agg(F.count("*").alias("readings"), F.max(F.when(sun < 1e9, sun)).alias("ssrd"))
+    return f.join(w, ["y", "m", "d", "h"])
+
+
+@query(f"""WITH {_POSITIONS}, s AS (SELECT site_id, longitude AS sx, latitude AS sy FROM heat_sites),
+  d AS (SELECT site_id, row_id, 2 * 6371.0 * asin(sqrt(least(1, power(sin(radians(sy - lat) / 2), 2) + cos(radians(lat)) * cos(radians(sy)) * power(sin(radians(sx - lon) / 2), 2)))) AS km FROM pos, s WHERE lon IS NOT NULL)
+  SELECT site_id, count(*) AS n, round(min(km), 4) AS nearest_km FROM d WHERE km <= 5.0 GROUP BY site_id""")
+def p6_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections within 5 km of each heat site's position: how many and how near (points near points)."""
+    sites = table(spark, sf_dir, "heat_sites").select("site_id", "longitude", "latitude")
+    pairs = within_distance(detections(spark, sf_dir), "row_id", "longitude", "latitude", sites, "site_id", "longitude", "latitude", 5.0)
+    return pairs.groupBy(F.col("site_id").cast("int").alias("site_id")).agg(F.count("*").alias("n"), F.round(F.min("km"), 4).alias("nearest_km"))
+
+
+@query(f"""WITH RECURSIVE {_linked(_FIRE_XYZ.format(t="0.0"), _CHORD)}, k AS (SELECT label, count(*) AS k FROM lab GROUP BY label) SELECT id AS row_id, CASE WHEN k > 1 THEN label ELSE -1 END AS label FROM lab JOIN k USING (label)""")
 def dbscan_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the detections by great-circle distance, two points at least; the least row_id is the label, lone ones are -1."""
-    import math
-
-    chord = 2 * math.sin(NEAR_KM / 6371.0 / 2)
     x, y, z = position_xyz()
     p = table(spark, sf_dir, "firedata").select("row_id", x.alias("x"), y.alias("y"), z.alias("z")).where("x IS NOT NULL")
-    g = linked_groups(p, "row_id", ["x", "y", "z"], chord).select(F.col("id").alias("row_id"), "group")
+    # great-circle distance <= d  <=>  chord <= 2 sin(d / 2R)
+    g = linked_groups(p, "row_id", ["x", "y", "z"], _CHORD).select(F.col("id").alias("row_id"), "group")
     return p.select("row_id").join(g, "row_id", "left").select("row_id", F.coalesce("group", F.lit(-1)).alias("label"))
 
 
@@ -320,11 +362,25 @@ def cell_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(k, "lonind", "left_semi").select("date", "latind", "tp_med")
 
 
-@query("SELECT DISTINCT p_brand AS v FROM part UNION SELECT DISTINCT p_type FROM part UNION ALL SELECT * FROM (SELECT n_name FROM nation INTERSECT SELECT n_name FROM nation) UNION ALL SELECT * FROM (SELECT r_name FROM region EXCEPT ALL SELECT n_name FROM nation)")
+@query("""SELECT DISTINCT p_brand AS v FROM part UNION SELECT DISTINCT p_type FROM part UNION ALL SELECT CAST(k AS VARCHAR) FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal < 5000)
+  UNION ALL SELECT CAST(k AS VARCHAR) FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, union all, intersect and except."""
-    p, n, r = (table(spark, sf_dir, t) for t in ("part", "nation", "region"))
-    return p.select(F.col("p_brand").alias("v")).union(p.select("p_type")).distinct().union(n.select("n_name").intersect(n.select("n_name"))).union(r.select("r_name").exceptAll(n.select("n_name")))
+    """Union, union all, intersect and except all of columns that overlap in part."""
+    p, c, s = (table(spark, sf_dir, t) for t in ("part", "customer", "supplier"))
+    both = c.where("c_acctbal < 0").select("c_nationkey").intersect(s.where("s_acctbal < 5000").select("s_nationkey"))
+    left = c.select("c_nationkey").exceptAll(s.select("s_nationkey"))
+    text = lambda df: df.select(F.col("c_nationkey").cast("string"))
+    return p.select(F.col("p_brand").alias("v")).union(p.select("p_type")).distinct().union(text(both)).union(text(left))
+
+
+@query(f"WITH {_FIRE_ROWS}, listed AS (SELECT DISTINCT lonind, latind FROM c ORDER BY lonind, latind LIMIT 5) SELECT lonind, latind, " + ", ".join(f"round(avg(tp_med) FILTER (month(date) = {m}), 6) AS m_{m}" for m in range(1, 13)) + " FROM c SEMI JOIN listed USING (lonind, latind) GROUP BY lonind, latind")
+def cells_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a list of cells, wide by month (P23); the list is the first five cells."""
+    c = current_indices(spark, sf_dir).select(*CELL, "date", "tp_med")
+    listed = c.select(*CELL).distinct().orderBy(*CELL).limit(5)
+    out = c.join(F.broadcast(listed), CELL, "left_semi").withColumn("m", F.month("date"))  # five rows
+    out = out.groupBy(*CELL).pivot("m", list(range(1, 13))).agg(F.avg("tp_med"))
+    return out.select(*CELL, *(F.round(F.col(str(m)), 6).alias(f"m_{m}") for m in range(1, 13)))
 
 
 @query(f"{_DET} SELECT row_id, frp FROM det WHERE frp > 0 ORDER BY frp DESC, row_id LIMIT 100")
@@ -333,12 +389,13 @@ def strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).where("frp > 0").orderBy(F.desc("frp"), "row_id").limit(100).select("row_id", "frp")
 
 
-@query("SELECT row_id, CAST(CASE WHEN c IS NULL THEN NULL WHEN c < 30 THEN 0 WHEN c < 80 THEN 1 ELSE 2 END AS INT) AS class, regexp_extract(tag, '([0-9]+)', 1) AS digits, split_part(tag, '.', 2) AS v FROM (SELECT row_id, confidence AS c, 'h' || lpad(CAST(row_id % 36 AS VARCHAR), 2, '0') || '.v' || CAST(row_id % 18 AS VARCHAR) AS tag FROM firedata)")
+@query("SELECT row_id, CAST(CASE WHEN c IS NULL THEN NULL WHEN c < 30 THEN 0 WHEN c < 80 THEN 1 ELSE 2 END AS INT) AS class, CAST(row_id % 36 AS INT) AS h, CAST(row_id % 18 AS INT) AS v FROM (SELECT row_id, confidence AS c FROM firedata)")
 def text_and_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of a value, parts of a tile name."""
-    tag = F.concat(F.lit("h"), F.lpad((F.col("row_id") % 36).cast("string"), 2, "0"), F.lit(".v"), (F.col("row_id") % 18).cast("string"))
+    tag = F.concat(F.lit("h"), F.lpad((F.col("row_id") % 36).cast("string"), 2, "0"), F.lit("v"), F.lpad((F.col("row_id") % 18).cast("string"), 2, "0"))
     bins = F.when(F.col("confidence") < 30, 0).when(F.col("confidence") < 80, 1).when(F.col("confidence").isNotNull(), 2)
-    return table(spark, sf_dir, "firedata").select("row_id", bins.cast("int").alias("class"), F.regexp_extract(tag, "([0-9]+)", 1).alias("digits"), F.element_at(F.split(tag, r"\."), 2).alias("v"))
+    h, v = tile_of_file("tag")
+    return table(spark, sf_dir, "firedata").withColumn("tag", F.concat(F.lit("x."), tag, F.lit(".b"))).select("row_id", bins.cast("int").alias("class"), h.alias("h"), v.alias("v"))
 
 
 @query("SELECT site_id, count(*) AS n FROM heat_sites h JOIN firedata f ON f.longitude > h.longitude - 0.1 AND f.longitude < h.longitude + 0.1 AND f.latitude > h.latitude - 0.1 AND f.latitude < h.latitude + 0.1 WHERE NOT isnan(f.longitude) AND NOT isnan(f.latitude) GROUP BY site_id")
@@ -354,11 +411,7 @@ def positions_near_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near_sites(spark: SparkSession, sf_dir: str, points: DataFrame) -> DataFrame:
-    from ..operators.spatial import inside_regions
-
     s = table(spark, sf_dir, "heat_sites")
     half = 0.1
     boxes = s.select("site_id", F.lit("box").alias("shape"), "longitude", "latitude", F.lit(None).cast("double").alias("radius_km"), (F.col("longitude") - half).alias("west"), (F.col("longitude") + half).alias("east"), (F.col("latitude") - half).alias("south"), (F.col("latitude") + half).alias("north"))
     return inside_regions(points, "row_id", "longitude", "latitude", boxes, "site_id").groupBy("site_id").agg(F.count("*").alias("n"))
-
-

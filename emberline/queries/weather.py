@@ -9,9 +9,9 @@ from ..functions.clean import current_rows, day_index, finite, usable
 from ..functions.met import day_length, effective_day_length, relative_humidity, to_celsius, to_mm, wind_speed
 from ..operators import resample as R
 from ..operators.fwi import final_state, fwi_daily
-from ..operators.units import H2M, stated_in_remark, with_units
+from ..operators.units import H2M, T2M, stated_in_remark, with_source_units, with_units
 from ..plans.views import view, with_views
-from .problems import _FIRE_ROWS, _REMARK
+from .problems import _FIRE_ROWS, _REMARK, _UNITS
 from .tables import table
 
 CELL = ["lonind", "latind"]
@@ -45,7 +45,7 @@ m0 AS (SELECT lonind, latind, CAST(time AS DATE) AS day, loaded_at, CASE WHEN NO
 m1 AS (SELECT *, CASE WHEN regexp_matches(m, 'fraction|0\.\.1|share of one|pecahan|ratio not') THEN h * 100 WHEN regexp_matches(m, 'x10|by ten|tenths|per mille') THEN h * 0.1 WHEN h < 2 THEN h * 100 WHEN h > 200 THEN h * 0.1 ELSE h END AS h2m FROM m0),
 wx AS (SELECT lonind, latind, day, t2m, CASE WHEN h2m > 100 THEN 100 ELSE h2m END AS h2m, w10, tp, row_number() OVER (PARTITION BY lonind, latind ORDER BY day) AS rn FROM
   (SELECT *, row_number() OVER (PARTITION BY lonind, latind, day ORDER BY loaded_at DESC, t2m DESC NULLS LAST, h2m DESC NULLS LAST, w10 DESC NULLS LAST, tp DESC NULLS LAST) AS k FROM m1) WHERE k = 1)"""
-_STEP = """SELECT lonind, latind, day, rn, ok,
+_STEP = """SELECT {key} lonind, latind, day, rn, ok,
   147.2 * (101.0 - s_f) / (59.5 + s_f) AS m_0, greatest(r - 0.5, 1e-12) AS rf,
   m_0 + 42.5 * rf * exp(-100.0 / greatest(251.0 - m_0, 1e-12)) * (1.0 - exp(-6.93 / rf)) AS m_w,
   CASE WHEN m_0 > 150.0 THEN m_w + 0.0015 * power(m_0 - 150.0, 2) * sqrt(rf) ELSE m_w END AS m_x,
@@ -56,7 +56,7 @@ _STEP = """SELECT lonind, latind, day, rn, ok,
   (0.424 * (1.0 - power((100.0 - h) / 100.0, 1.7)) + 0.0694 * sqrt(w) * (1.0 - power((100.0 - h) / 100.0, 8))) * 0.581 * exp(0.0365 * t) AS k_w,
   CASE WHEN m_1 > e_d THEN e_d + (m_1 - e_d) / power(10.0, k_d) WHEN m_1 < e_d AND m_1 <= e_w THEN e_w - (e_w - m_1) / power(10.0, k_w) ELSE m_1 END AS m_2,
   greatest(0.0, least(101.0, 59.5 * (250.0 - m_2) / (147.2 + m_2))) AS n_f,
-  1.894 * (greatest(t, -1.1) + 1.1) * (100.0 - h) * 9.0 * 1e-4 AS rk, 0.92 * r - 1.27 AS rw,
+  1.894 * (greatest(t, -1.1) + 1.1) * (100.0 - h) * {le} * 1e-4 AS rk, 0.92 * r - 1.27 AS rw,
   CASE WHEN s_p <= 33.0 THEN 100.0 / (0.5 + 0.3 * s_p) WHEN s_p <= 65.0 THEN 14.0 - 1.3 * ln(greatest(s_p, 1e-12)) ELSE 6.2 * ln(greatest(s_p, 1e-12)) - 17.2 END AS b_,
   20.0 + 280.0 / exp(0.023 * s_p) + 1000.0 * rw / (48.77 + b_ * rw) AS mo,
   greatest(greatest(CASE WHEN r > 1.5 THEN 43.43 * (5.6348 - ln(greatest(mo - 20.0, 1e-12))) ELSE s_p END, 0.0) + rk, 1.0) AS n_p,
@@ -68,10 +68,16 @@ _STEP = """SELECT lonind, latind, day, rn, ok,
   0.1 * isi_ * CASE WHEN bui_ <= 80.0 THEN 0.626 * power(bui_, 0.809) + 2.0 ELSE 1000.0 / (25.0 + 108.64 / exp(0.023 * bui_)) END AS bb,
   CASE WHEN bb <= 1.0 THEN bb ELSE exp(2.72 * power(0.434 * ln(greatest(bb, 1.0)), 0.647)) END AS fwi_,
   CASE WHEN ok THEN n_f ELSE s_f END AS c_f, CASE WHEN ok THEN n_p ELSE s_p END AS c_p, CASE WHEN ok THEN n_d ELSE s_d END AS c_d
-  FROM (SELECT wx.lonind, wx.latind, wx.day, wx.rn, (t2m + h2m + w10 + tp) IS NOT NULL AS ok, coalesce(t2m, 20.0) AS t, coalesce(h2m, 50.0) AS h, coalesce(w10, 0.0) AS w, coalesce(tp, 0.0) AS r, {state} FROM {source})"""
-_FIRST = _STEP.format(state="85.0 AS s_f, 6.0 AS s_p, 15.0 AS s_d", source="wx WHERE wx.rn = 1")
-_NEXT = _STEP.format(state="rec.c_f AS s_f, rec.c_p AS s_p, rec.c_d AS s_d", source="rec JOIN wx ON wx.lonind = rec.lonind AND wx.latind = rec.latind AND wx.rn = rec.rn + 1")
+  FROM (SELECT {wkey} wx.lonind, wx.latind, wx.day, wx.rn, (t2m + h2m + w10 + tp) IS NOT NULL AS ok, coalesce(t2m, 20.0) AS t, coalesce(h2m, 50.0) AS h, coalesce(w10, 0.0) AS w, coalesce(tp, 0.0) AS r, {state} FROM {source})"""
+_PLAIN = {"key": "", "wkey": "", "le": "9.0"}
+_FIRST = _STEP.format(**_PLAIN, state="85.0 AS s_f, 6.0 AS s_p, 15.0 AS s_d", source="wx WHERE wx.rn = 1")
+_NEXT = _STEP.format(**_PLAIN, state="rec.c_f AS s_f, rec.c_p AS s_p, rec.c_d AS s_d", source="rec JOIN wx ON wx.lonind = rec.lonind AND wx.latind = rec.latind AND wx.rn = rec.rn + 1")
 _KEEP = "lonind, latind, day, rn, ok, c_f, c_p, c_d, isi_, bui_, fwi_"
+_MEMBER = {"key": "number, le,", "wkey": "wx.number, wx.le,", "le": "le"}
+_MX = """mx AS (SELECT n AS number, lonind, latind, day, t2m + n * 0.5 AS t2m, h2m, w10, tp, rn, greatest(CASE WHEN x <= -1 THEN 24.0 WHEN x >= 1 THEN 0.0 ELSE degrees(acos(x)) / 7.5 END, 0) - 3.0 AS le
+    FROM (SELECT *, -tan(radians(-13.0 + latind * 0.25)) * tan(radians(23.45 * sin(radians(360.0 * (283.0 + [15, 45, 75, 106, 136, 167, 197, 228, 258, 289, 319, 350][month(day)]) / 365.0)))) AS x FROM wx), (SELECT unnest([1, 2]) AS n))"""
+_MFIRST = _STEP.format(**_MEMBER, state="85.0 AS s_f, 6.0 AS s_p, 15.0 AS s_d", source="mx AS wx WHERE wx.rn = 1")
+_MNEXT = _STEP.format(**_MEMBER, state="rec.c_f AS s_f, rec.c_p AS s_p, rec.c_d AS s_d", source="rec JOIN mx AS wx ON wx.number = rec.number AND wx.lonind = rec.lonind AND wx.latind = rec.latind AND wx.rn = rec.rn + 1")
 _FWI = f"WITH RECURSIVE {_INPUTS}, rec AS (SELECT {_KEEP} FROM ({_FIRST}) UNION ALL SELECT {_KEEP} FROM ({_NEXT}))"
 
 
@@ -97,7 +103,7 @@ def fwi_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fwi_daily(wx.where("day >= DATE '2019-07-01'"), *args, initial_state=before).select(*CELL, "day", F.round("fwi", 4).alias("fwi"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_INPUTS}, {_MX}, rec AS (SELECT number, {_KEEP} FROM ({_MFIRST}) UNION ALL SELECT number, {_KEEP} FROM ({_MNEXT})) SELECT lonind, latind, day, round(avg(CASE WHEN ok THEN fwi_ END), 4) AS fwi_mean FROM rec GROUP BY ALL")
 def fwi_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recurrence for each member of an ensemble (W12), day lengths by latitude."""
     wx = daily_inputs(spark, sf_dir).withColumn("number", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -106,15 +112,24 @@ def fwi_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(*CELL, "day").agg(F.round(F.avg("fwi"), 4).alias("fwi_mean"))
 
 
-_K = "NOT isnan(t2m) AND NOT isnan(d2m) AND t2m BETWEEN 250 AND 330 AND d2m BETWEEN 250 AND 330"
+_KELVIN = "CASE unit WHEN 'C' THEN {v} + 273.15 WHEN 'F' THEN ({v} + 459.67) * (5.0 / 9) ELSE {v} END"
 
 
-@query(f"""SELECT obs_id, round(100.0 * exp(17.625 * (d2m - 273.15) / (243.04 + (d2m - 273.15))) / exp(17.625 * (t2m - 273.15) / (243.04 + (t2m - 273.15))), 4) AS rh,
-  round(sqrt(u10 * u10 + v10 * v10), 4) AS wind, round(t2m - 273.15, 4) AS t_c FROM clim_dataset WHERE {_K}""")
+@query(f"""WITH {_UNITS}, k AS (SELECT c.obs_id, unit, c.t2m, CASE WHEN NOT isnan(d2m) THEN d2m END AS d2m, CASE WHEN NOT isnan(u10) AND abs(u10) < 900 THEN u10 END AS u10, CASE WHEN NOT isnan(v10) AND abs(v10) < 900 THEN v10 END AS v10
+    FROM clim_dataset c LEFT JOIN case_ x ON x.obs_id = c.obs_id AND x.table_name = 'clim_dataset' AND x.field = 't2m'),
+  m AS (SELECT obs_id, CASE WHEN unit IS NOT NULL THEN {_KELVIN.format(v="t2m")} - 273.15 END AS t, CASE WHEN unit IS NOT NULL AND {_KELVIN.format(v="d2m")} BETWEEN 180 AND 345 THEN {_KELVIN.format(v="d2m")} - 273.15 END AS d, u10, v10 FROM k)
+  SELECT obs_id, round(100.0 * exp(17.625 * d / (243.04 + d)) / exp(17.625 * t / (243.04 + t)), 4) AS rh, round(sqrt(u10 * u10 + v10 * v10), 4) AS wind, round(t, 4) AS t_c FROM m""")
 def rel_humidity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relative humidity, wind speed and Celsius of the rows in kelvin."""
-    d = table(spark, sf_dir, "clim_dataset").where(F.col("t2m").between(250, 330) & F.col("d2m").between(250, 330))
-    return d.select("obs_id", F.round(relative_humidity("t2m", "d2m"), 4).alias("rh"), F.round(wind_speed("u10", "v10"), 4).alias("wind"), F.round(to_celsius("t2m"), 4).alias("t_c"))
+    """Relative humidity, wind speed and Celsius of every row, in whatever unit it came; the dew point has the temperature's."""
+    d = table(spark, sf_dir, "clim_dataset").select("obs_id", "feed", "time", "t2m", "d2m", "u10", "v10", "remark")
+    d = with_source_units(d, table(spark, sf_dir, "feeds"), "feed", "time", "valid_from", "description", [T2M])
+    d = with_units(d.drop("feed", "time"), T2M, "t2m", stated_in_remark(T2M, "remark"), F.col("t2m_source_unit"))
+    dew = finite("d2m")
+    kelvin = None
+    for u in T2M.units:
+        kelvin = F.when(F.col("t2m_unit") == u.name, u.to_nominal(dew)) if kelvin is None else kelvin.when(F.col("t2m_unit") == u.name, u.to_nominal(dew))
+    d = d.withColumns({"d": F.when(kelvin.between(T2M.low, T2M.high), kelvin), "u": F.when(F.abs(finite("u10")) < 900, F.col("u10")), "v": F.when(F.abs(finite("v10")) < 900, F.col("v10"))})
+    return d.select("obs_id", F.round(relative_humidity("t2m_nominal", "d"), 4).alias("rh"), F.round(wind_speed("u", "v"), 4).alias("wind"), F.round(to_celsius("t2m_nominal"), 4).alias("t_c"))
 
 
 _CLEAN_TP = "CASE WHEN NOT isnan(tp) AND tp >= 0 AND tp < 2000 THEN tp END"
@@ -265,10 +280,10 @@ def stride_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.every_nth(view(spark, sf_dir, "v_series_long").select("cell", "day", "v"), ["cell"], "day", 6)
 
 
-@query("WITH s AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM events) SELECT lonind, latind, date FROM fwi_fire, s WHERE date BETWEEN DATE '2018-01-01' AND DATE '2018-12-31' AND date + INTERVAL 6 YEAR BETWEEN a AND z")
+@query("WITH s AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM events) SELECT lonind, latind, date FROM fwi_fire, s WHERE date BETWEEN DATE '2019-01-01' AND DATE '2019-12-31' AND date + INTERVAL 5 YEAR BETWEEN a AND z")
 def time_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice of the index archive within the days that another series spans."""
-    long = table(spark, sf_dir, "fwi_fire").where(F.col("date").between("2018-01-01", "2018-12-31")).select(*CELL, "date", F.add_months("date", 72).alias("moved"))
+    long = table(spark, sf_dir, "fwi_fire").where(F.col("date").between("2019-01-01", "2019-12-31")).select(*CELL, "date", F.add_months("date", 60).alias("moved"))
     short = table(spark, sf_dir, "events").select(F.to_date("ts").alias("moved"))
     return R.overlap(long, short, "moved").drop("moved")
 
@@ -335,3 +350,32 @@ def same_day_last_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = current_indices(spark, sf_dir).select(*CELL, "date", "dc_med")
     before = c.select(*CELL, F.date_add("date", 365).alias("date"), F.col("dc_med").alias("dc_before"))
     return c.join(before, [*CELL, "date"], "left")
+
+
+@query("SELECT cell, CAST(date_trunc('month', CAST(day AS TIMESTAMP) - INTERVAL 1 MICROSECOND) AS DATE) AS month, median(v) AS med FROM v_series_long GROUP BY ALL")
+def month_start_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly medians labelled by the month's first day, months closed on the right."""
+    return view(spark, sf_dir, "v_series_long").groupBy("cell", R.month_bin_start("day").alias("month")).agg(F.median("v").alias("med"))
+
+
+_RUNS = "runs AS (SELECT cell, day, v + k AS v, CAST(date_trunc('month', day) - k * INTERVAL 1 MONTH AS DATE) AS run FROM v_series_long, (SELECT unnest([0, 1]) AS k) UNION ALL SELECT cell, day, v - 1, CAST(date_trunc('month', day) + INTERVAL 1 MONTH AS DATE) FROM v_series_long WHERE day = last_day(day))"
+
+
+@query(f"""WITH {_RUNS} SELECT cell, day, v, run FROM runs WHERE last_day(run) > DATE '2000-02-15' AND last_day(run) <= DATE '2000-06-01' AND day BETWEEN run - 1 AND CAST(run + INTERVAL 1 MONTH AS DATE)""")
+def bridge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months between the observations and a forecast, each from the run that started with it."""
+    s = view(spark, sf_dir, "v_series_long").select("cell", "day", "v")
+    runs = s.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("cell", "day", (F.col("v") + F.col("k")).alias("v"), F.add_months(F.trunc("day", "month"), -F.col("k")).alias("run"))
+    eve = s.where(F.col("day") == F.last_day("day")).select("cell", "day", F.col("v") - 1, F.add_months(F.trunc("day", "month"), 1))
+    return R.bridge(runs.union(eve), "run", "day", "2000-02-15", "2000-06-01")
+
+
+_DAYS = range(31)
+
+
+@query("SELECT cell, " + ", ".join(f"round(avg(v) FILTER (day = DATE '2000-01-01' + {i}), 6) AS v_{i}" for i in _DAYS) + " FROM v_series_long GROUP BY cell")
+def daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide features: a column of means for each day of a forecast's first month."""
+    d = view(spark, sf_dir, "v_series_long").withColumn("k", F.datediff("day", F.lit("2000-01-01").cast("date")))
+    out = d.groupBy("cell").pivot("k", list(_DAYS)).agg(F.avg("v"))
+    return out.select("cell", *(F.round(F.col(str(i)), 6).alias(f"v_{i}") for i in _DAYS))

@@ -68,33 +68,38 @@ def merged_firsts(spark: SparkSession, at: str, time: str, keys: Sequence[str])
     return _firsts(spark.read.parquet(at), time, keys)
 
 
-def _advance(mode: str, lat: float, keep_late: bool):
-    le, lf = day_factors(mode, np.array([lat]))
-
+def _advance(mode: str, keep_late: bool):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         *codes, last = state.get if state.exists else (*START, "")
         now = Codes(*(np.array([c]) for c in codes))
         rows = pd.concat(list(batches), ignore_index=True)
         rows["day"] = pd.to_datetime(rows["day"])
-        out = []
-        for r in rows.sort_values("day", kind="stable").drop_duplicates("day", keep="last").itertuples():
-            day = r.day.strftime("%Y-%m-%d")
-            if day <= last:  # the state has passed it: only a batch run can work it in
-                if keep_late:
-                    out.append((key[0], r.day.date(), *[None] * len(CODES), True, r.t, r.h, r.w, r.rain))
-                continue
-            m = r.day.month - 1
-            now, got = step(now, *(np.array([x], float) for x in (r.t, r.h, r.w, r.rain)), le[m], lf[m])
-            last = day
-            out.append((key[0], r.day.date(), *(None if np.isnan(got[c][0]) else float(got[c][0]) for c in CODES), *((False, r.t, r.h, r.w, r.rain) if keep_late else ())))
-        state.update((*(float(c[0]) for c in now), last))
-        yield pd.DataFrame(out, columns=["cell", "day", *CODES, *(_LATE if keep_late else ())])
+        rows = rows.sort_values("day", kind="stable").drop_duplicates("day", keep="last")
+        le, lf = day_factors(mode, rows["lat"].to_numpy(float)[-1:] if mode == "latitude" else np.zeros(1))
+        days = rows["day"].dt.strftime("%Y-%m-%d").to_numpy()
+        late = days <= last  # the state has passed them: only a batch run can work them in
+        months = rows["day"].dt.month.to_numpy() - 1
+        weather = rows[["t", "h", "w", "rain"]].to_numpy(float)
+        got = {c: np.full(len(rows), np.nan) for c in CODES}
+        for i in np.flatnonzero(~late):
+            now, one = step(now, *weather[i][:, None], le[months[i]], lf[months[i]])
+            for c in CODES:
+                got[c][i] = one[c][0]
+        if not late.all():
+            last = days[~late].max()
+        state.update((*(float(c[0]) for c in now), str(last)))
+        out = pd.DataFrame({"cell": key[0], "day": rows["day"].dt.date.to_numpy()} | {c: pd.Series(v, dtype="object").where(~np.isnan(v), None) for c, v in got.items()})
+        if keep_late:
+            out = out.assign(late=late, **{c: weather[:, i] for i, c in enumerate(("t", "h", "w", "rain"))})
+            yield out
+        else:
+            yield out[~late]
 
     return run
 
 
-def fwi_stream(weather: DataFrame, mode: str = "tropical", lat: float = 0.0, keep_late: bool = False) -> DataFrame:
-    """The fire-weather recurrence over a stream ``cell STRING, day DATE, t, h, w, rain``.
+def fwi_stream(weather: DataFrame, mode: str = "tropical", keep_late: bool = False) -> DataFrame:
+    """The fire-weather recurrence over a stream ``cell STRING, day DATE, t, h, w, rain``, and ``lat`` of the cell for the mode ``latitude``.
 
     Each cell's three codes and last day are kept as state from batch to
     batch.  Days come in order per cell from batch to batch; of a day the last
@@ -104,5 +109,5 @@ def fwi_stream(weather: DataFrame, mode: str = "tropical", lat: float = 0.0, kee
     weather, so ``fwi_daily`` over them works the late days in.
     """
     return weather.groupBy("cell").applyInPandasWithState(
-        _advance(mode, lat, keep_late), "cell string, day date, " + ", ".join(f"{c} {kind}" for c, kind in (dict.fromkeys(CODES, "double") | (_LATE if keep_late else {})).items()), "ffmc double, dmc double, dc double, last string", "append", "NoTimeout"
+        _advance(mode, keep_late), "cell string, day date, " + ", ".join(f"{c} {kind}" for c, kind in (dict.fromkeys(CODES, "double") | (_LATE if keep_late else {})).items()), "ffmc double, dmc double, dc double, last string", "append", "NoTimeout"
     )

@@ -54,6 +54,28 @@ def test_two_segments(spark):
     assert out["b"]["r2"] is None and abs(out["a"]["slope_after"] - 3) < 0.1
 
 
+def test_draws_and_folds(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") < 490, (F.col("id") % 7 == 0).cast("int")).alias("y"))
+    once, again = S.draw(df, 100, ["id"], 1), S.draw(df, 700, ["id"], 1, replace=True)
+    assert once.distinct().count() == once.count() == 100 and S.draw(df, 9_999, ["id"]).count() == 500
+    assert again.count() == 700 and again.distinct().count() < 500 and S.draw(df.limit(0), 10, ["id"], replace=True).count() == 0
+    sizes = {(r["fold"], r["y"]): r["count"] for r in S.stratified_folds(df, "y", ["id"], 4).groupBy("fold", "y").count().collect()}
+    assert len(sizes) == 8 and all(max(v) - min(v) <= 1 for v in ([n for (_, y), n in sizes.items() if y == k] for k in (0, 1)))
+    assert {r["y"]: r["count"] for r in S.balance(df, "y", ["id"], 5, most=20).groupBy("y").count().collect()} == {0: 20, 1: 20}
+
+
+def test_rows_without_a_feature_stay(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, float(v), 1.0, int(v > 0)) for i, v in enumerate(rng.normal(0, 1, 200))] + [(900, 0, None, 1.0, 1), (901, 1, float("nan"), 1.0, 0), (902, None, 0.5, 1.0, 1), (903, 0, 0.1, 1.0, None)]
+    df = spark.createDataFrame(rows, "id int, year int, a double, same double, label int")
+    out = {r["id"]: r["prob"] for r in M.leave_one_out(df, ["a", "same"], "label", "year").collect()}
+    assert len(out) == 204 and all(out[i] is None for i in (900, 901, 902)) and out[903] is not None
+    one = M.fit_predict(df.where("label = 1"), df, ["a"], "label", ["id"])
+    assert one.count() == 204 and one.where("prob IS NOT NULL").count() == 0
+    f = {r["fold"]: r for r in M.fold_scores(df.where("id < 200"), ["a"], "label", ["id"], 2).collect()}
+    assert set(f) == {0, 1} and all(r["accuracy"] > 0.8 and r["kappa"] > 0.6 and r["auc"] > 0.9 for r in f.values())
+
+
 @pytest.mark.parametrize("kind", M.MODELS)
 def test_models_learn(spark, kind):
     rng = np.random.default_rng(3)

@@ -24,7 +24,7 @@ def test_parquet_round_trip_and_pushdown(spark, tmp_path):
     assert {r["k"] for r in got.collect()} == want and want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lat)" in plan or "GreaterThan(lon" in plan
-    assert R.read_table(spark, str(tmp_path / "t"), hour=0).count() == 1000
+    assert R.read_table(spark, str(tmp_path / "t"), hour=0).count() == 42 and R.read_table(spark, str(tmp_path / "t")).count() == 1000
     assert "year" not in R.read_table(spark, str(tmp_path / "t"), drop=["year"]).columns
 
 
@@ -49,6 +49,7 @@ def test_arrays(spark, tmp_path):
     np.save(tmp_path / "b.npy", np.array([2.0, 0.0]))
     got = {(r["row"], r["col"], r["value"]) for r in R.read_arrays(spark, str(tmp_path), -9999.0).collect()}
     assert got == {(0, 1, 1.5), (0, 0, 2.0)}
+    assert {(r["row"], r["col"], r["value"]) for r in R.read_arrays(spark, str(tmp_path), -9999.0, zeros=True).collect()} == got | {(0, 0, 0.0), (0, 1, 0.0)}
 
 
 def test_small_readers(spark):
@@ -57,9 +58,26 @@ def test_small_readers(spark):
     assert R.without_nan(df).where("v IS NULL").count() == 1
     assert R.scaled(df.where("qa = 3"), "v", 0.1, 1.5).collect()[0]["v"] == 0.1
     assert {r["level"] for r in R.union_levels({0: df, 5: df.drop("qa")}).collect()} == {0, 5}
+    assert R.join_values("an") == "an" and R.join_values(7) == 7 and R.date_range("2019-01-01", "2019-02-03") == "2019-01-01/to/2019-02-03" and R.date_range("2019-01-01", "2019-01-01") == "2019-01-01"
     assert R.join_values([1, 2, 3]) == "1/2/3" and R.monthly_dates("2019-01-15", "2019-03-02") == "20190101/20190201/20190301"
 
 
+def test_tiles_fills_and_small_files(spark, tmp_path):
+    tile = "date int, qa int, longitude double, latitude double"
+    for year, name, rows in ((2005, "A2005001.h29v09", [(40, 3, 110.0, -1.0), (0, 3, 110.0, -1.0), (7, 1, 110.0, -1.0)]), (2005, "A2005001.h30v09", []), (2007, "A2007032.h28v08", [(9, 3, 120.0, 1.0)])):
+        spark.createDataFrame(rows, tile).coalesce(1).write.parquet(str(tmp_path / "w"), mode="overwrite")
+        part = next((tmp_path / "w").glob("part-*"))
+        (tmp_path / str(year)).mkdir(exist_ok=True)
+        part.rename(tmp_path / str(year) / f"X.{name}.006.parquet")
+    got = {(r["year"], r["tile_h"], r["tile_v"], r["date"]) for r in R.read_tiles(spark, str(tmp_path), [2005, 2006, 2007]).collect()}
+    assert got == {(2005, 29, 9, 40), (2007, 28, 8, 9)}
+    assert R.read_tiles(spark, str(tmp_path), [2005, 2007], BBox(0.0, 100.0, -5.0, 115.0)).count() == 1
+    px = spark.createDataFrame([("a", 100.0, 0.0, -9999.0), ("a", 101.0, 0.0, 4.0), ("a", 150.0, 0.0, 4.0), ("b", 100.0, 0.0, 32765.0)], "file string, longitude double, latitude double, sm double")
+    box = BBox(3.1, 98.9, -3.1, 104.1)
+    assert [(r["file"], r["sm"]) for r in R.scaled(px, "sm", 0.5, 32761, -9999.0, box).orderBy("longitude").collect()] == [("a", None), ("a", 2.0)]
+    assert {r["file"] for r in R.enough_pixels(px, "file", 3).collect()} == {"a"} and R.enough_pixels(px, "file").count() == 0
+
+
 def test_csv_and_json(spark, tmp_path):
     df = spark.createDataFrame([(2001, 1, 1, 1.005, "a"), (2001, 1, 2, None, None), (2002, 3, 1, 2.0, "b")], "year int, month int, cell int, v double, s string")
     K.write_csv(df, str(tmp_path / "c"), 2)
@@ -81,8 +99,8 @@ def _run(df, name, mode="append"):
 
 
 def test_fwi_stream_equals_batch(spark, tmp_path):
-    rows = [(c, dt.date(2019, 1, 1) + dt.timedelta(d), 25.0 + d % 7, 60.0 + 5 * (d % 5), 2.0, 3.0 * (d % 4 == 0)) for c in "ab" for d in range(20)]
-    schema = "cell string, day date, t double, h double, w double, rain double"
+    rows = [(c, dt.date(2019, 1, 1) + dt.timedelta(d), 25.0 + d % 7, 60.0 + 5 * (d % 5), 2.0, 3.0 * (d % 4 == 0), 40.0 * (c == "b")) for c in "ab" for d in range(20)]
+    schema = "cell string, day date, t double, h double, w double, rain double, lat double"
     df = spark.createDataFrame(rows, schema)
     for i, (a, b) in enumerate(((0, 8), (8, 15), (15, 20))):
         lo, hi = (dt.date(2019, 1, 1) + dt.timedelta(x) for x in (a, b))
@@ -91,6 +109,8 @@ def test_fwi_stream_equals_batch(spark, tmp_path):
     got = {(r["cell"], r["day"]): tuple(round(r[c], 9) for c in CODES) for r in _run(fwi_stream(src), "fwi_live")}
     want = {(r["cell"], r["day"]): tuple(round(r[c], 9) for c in CODES) for r in fwi_daily(df, ["cell"], "day", "t", "h", "w", "rain").collect()}
     assert got == want
+    by_lat = {(r["cell"], r["day"]): tuple(round(r[c], 9) for c in CODES) for r in _run(fwi_stream(src, mode="latitude"), "fwi_lat")}
+    assert by_lat == {(r["cell"], r["day"]): tuple(round(r[c], 9) for c in CODES) for r in fwi_daily(df, ["cell"], "day", "t", "h", "w", "rain", mode="latitude", lat="lat").collect()}
 
 
 def test_windowed_counts(spark, tmp_path):
