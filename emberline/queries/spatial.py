@@ -75,7 +75,8 @@ def grid_monthly_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dense_counts(d, CELL, "mind", F.sequence(F.lit(low or 0), F.lit(high or 0)))
 
 
-@query()
+@query(f"""{_DET}, n AS (SELECT lonind, latind, day, count(*) AS n FROM det GROUP BY ALL), b AS (SELECT min(day) AS a, max(day) AS z FROM n), e AS (SELECT * FROM (SELECT DISTINCT lonind, latind FROM n), (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM b))
+  SELECT lonind, latind, day, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (lonind, latind, day)""")
 def grid_daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense daily count cube: every cell with a detection, all days."""
     return G.dense_daily(detections(spark, sf_dir).select(*CELL, "day"), CELL, "day")
@@ -404,7 +405,7 @@ def detections_near_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_sites(spark, sf_dir, table(spark, sf_dir, "firedata"))
 
 
-@query()
+@query(f"WITH {_POSITIONS} SELECT site_id, count(*) AS n FROM heat_sites h JOIN pos ON lon > h.longitude - 0.1 AND lon < h.longitude + 0.1 AND lat > h.latitude - 0.1 AND lat < h.latitude + 0.1 GROUP BY site_id")
 def positions_near_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections, wherever their position comes from, in a square around each site, by the quadtree join (J10, points near points)."""
     return _near_sites(spark, sf_dir, detections(spark, sf_dir))
