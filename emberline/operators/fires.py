@@ -11,6 +11,8 @@ from .keyed import join_per_key
 from .linking import linked_groups
 from .running import running_totals
 
+FEW_BOXES = 32
+
 
 def cluster_features(df: DataFrame, label: str, day: str, inclusive: bool = True) -> DataFrame:
     """Adds ``duration`` (days) and ``fsize`` (detections) of each row's cluster.
@@ -53,14 +55,23 @@ def any_in_cluster(df: DataFrame, label: str, flags: dict[str, str]) -> DataFram
 def without_clusters_touching(df: DataFrame, label: str, boxes: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """Drop every cluster with a detection strictly inside of a box (``west, east, south, north``); rows without a label stay.
 
-    The different places of each cluster go through the quadtree join, however
-    many boxes there are; labels of any type.
+    Up to ``FEW_BOXES`` are one filter; the different places of each cluster
+    go through the quadtree join where there are more.  Labels of any type.
     """
     from .spatial import inside_regions
 
-    regions = boxes.select(F.monotonically_increasing_id().alias("bid__"), F.lit("box").alias("shape"), *(F.lit(None).cast("double").alias(c) for c in ("longitude", "latitude", "radius_km")), "west", "east", "south", "north")
-    places = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label__"), F.col(lon).alias("lon__"), F.col(lat).alias("lat__")).distinct()
-    touched = inside_regions(places, "label__", "lon__", "lat__", regions, "bid__").groupBy("label__").agg(F.lit(True).alias("touched__"))
+    named = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label__"), F.col(lon).alias("lon__"), F.col(lat).alias("lat__"))
+    few = boxes.select("west", "east", "south", "north").limit(FEW_BOXES + 1).collect()
+    if len(few) <= FEW_BOXES:
+        inside = F.lit(False)
+        for w, e, s, n in few:
+            if None not in (w, e, s, n):
+                inside = inside | ((F.col("lon__") > w) & (F.col("lon__") < e) & (F.col("lat__") > s) & (F.col("lat__") < n))
+        hit = named.where(inside)
+    else:
+        regions = boxes.select(F.monotonically_increasing_id().alias("bid__"), F.lit("box").alias("shape"), *(F.lit(None).cast("double").alias(c) for c in ("longitude", "latitude", "radius_km")), "west", "east", "south", "north")
+        hit = inside_regions(named.distinct(), "label__", "lon__", "lat__", regions, "bid__")
+    touched = hit.groupBy("label__").agg(F.lit(True).alias("touched__"))
     sizes = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label__")).agg(F.count("*").alias("n__"))
     per = sizes.join(touched, "label__").select(F.col("label__").alias(label), "n__", "touched__")
     return join_per_key(df, per, label, "n__", ["touched__"]).where("touched__ IS NULL").drop("touched__")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.operators import fires
 from emberline.operators.components import component_roots
 from emberline.operators.fires import any_in_cluster, cluster_features, ignitions, without_clusters_touching
 from emberline.operators.keyed import join_per_key
@@ -56,14 +57,16 @@ def test_join_per_key(spark):
     assert max(loads) < 2 * loads[len(loads) // 2] and out.columns == ["id", "k", "v"]
 
 
-def test_clusters_with_a_hot_label(spark):
+def test_clusters_with_a_hot_label(spark, monkeypatch):
     rows, df = hot_rows(spark)
     df = df.withColumns({"day": F.expr("date_add(DATE '2020-01-01', CAST(id % 7 AS INT))"), "lon": F.col("id") / 1000.0, "lat": F.lit(0.5), "flag": F.col("id") == 4})
     sizes = {r["k"]: (r["duration"], r["fsize"]) for r in cluster_features(df, "k", "day").select("k", "duration", "fsize").distinct().collect()}
     assert sizes[None] == (None, None) and sizes["hot"] == (7, 12_000) and sizes["k4"] == (6, 4)
     boxes = spark.createDataFrame([(0.0035, 0.0045, 0.0, 1.0), (50.0, 51.0, 0.0, 1.0)], "west double, east double, south double, north double")
-    left = {r["k"] for r in without_clusters_touching(df, "k", boxes, "lon", "lat").select("k").distinct().collect()}
-    assert left == {k for _, k in rows} - {"k4"}
+    for few in (32, 1):  # one filter, and the quadtree join
+        monkeypatch.setattr(fires, "FEW_BOXES", few)
+        left = {r["k"] for r in without_clusters_touching(df, "k", boxes, "lon", "lat").select("k").distinct().collect()}
+        assert left == {k for _, k in rows} - {"k4"}
     got = {r["k"]: r["any"] for r in any_in_cluster(df, "k", {"any": "flag"}).select("k", "any").distinct().collect()}
     assert got[None] is None and got["k4"] is True and got["hot"] is False
     assert ignitions(df, "k", "k", "day", "lon", "lat").count() == len({k for _, k in rows if k})
