@@ -4,11 +4,10 @@ A cluster feature (CF) is ``n``, the sum and the sum of squares of a set of
 rows; two of them add up to the CF of both sets.  The CF tree here is a dyadic
 one: a node of level ``l`` is a cube of side ``2^l``, its parent the cube of
 side ``2^(l+1)`` around it.  So trees of different partitions have the same
-nodes and merge exactly by adding CFs of equal keys.  ``CfTree`` has one level
-for all leaves; ``MixedTree`` has a level for each: where it has too many
-leaves, only the lightest (rows x side^2, what a leaf can add to the variance)
-go up to their parents, so a hot place stays finely divided however many rows
-lie elsewhere.
+nodes and merge exactly by adding CFs of equal keys.  Each leaf has a level of
+its own: where there are too many leaves, only the lightest (rows x side^2,
+what a leaf can add to the variance) go up to their parents, so a hot place
+stays finely divided however many rows lie elsewhere.
 
 Two ways to agglomerate the leaves:
 
@@ -45,54 +44,6 @@ REDUCE_BY = 8
 FINEST, COARSEST = -60, 1_100
 
 
-class CfTree:
-    """Leaves of a dyadic CF tree: integer keys at ``level`` and their CFs ``(n, sums, sums of squares)``."""
-
-    def __init__(self, dims: int, most: int, level: int = FINEST):
-        self.dims, self.most, self.level = dims, most, level
-        self.keys = np.zeros((0, dims), np.int64)
-        self.cf = np.zeros((0, 2 * dims + 1))
-
-    def _merge(self, keys: np.ndarray, cf: np.ndarray) -> None:
-        self.keys, at = np.unique(np.concatenate([self.keys, keys]), axis=0, return_inverse=True)
-        old = np.concatenate([self.cf, cf])
-        self.cf = np.stack([np.bincount(at.ravel(), old[:, j], len(self.keys)) for j in range(old.shape[1])], axis=1)
-
-    def coarsen(self, level: int) -> None:
-        if level > self.level:
-            keys, cf = self.keys >> (level - self.level), self.cf
-            self.keys, self.cf, self.level = self.keys[:0], self.cf[:0], level
-            self._merge(keys, cf)
-
-    def _fit(self) -> None:
-        while len(self.keys) > self.most:
-            self.coarsen(self.level + 1)
-
-    def add_points(self, points: np.ndarray) -> None:
-        if not len(points):
-            return
-        # a level below which no key of these points would fit an int64, or far more than `most` leaves would be made
-        top = np.abs(points).max()
-        self.coarsen(max(self.level, int(np.ceil(np.log2(max(top, 1e-300)))) - 40))
-        if len(points) > self.most:
-            wide = np.ptp(points, axis=0).max()
-            if wide > 0:
-                self.coarsen(max(self.level, int(np.floor(np.log2(wide))) - 20))
-        keys = np.floor(points / 2.0**self.level).astype(np.int64)
-        self._merge(keys, np.column_stack([np.ones(len(points)), points, points**2]))
-        self._fit()
-
-    def add_leaves(self, level: int, keys: np.ndarray, cf: np.ndarray) -> None:
-        self.coarsen(level)
-        self._merge(keys >> (self.level - level), cf)
-        self._fit()
-
-    def frame(self, group: int) -> pd.DataFrame:
-        out = {"grp": np.full(len(self.keys), group, "int64"), "level": np.full(len(self.keys), self.level, "int32")}
-        out |= {f"k{j}": self.keys[:, j] for j in range(self.dims)}
-        return pd.DataFrame(out | {f"f{j}": self.cf[:, j] for j in range(self.cf.shape[1])})
-
-
 class MixedTree:
     """Leaves of a dyadic CF tree, each with its own level."""
 
@@ -172,27 +123,31 @@ def ward(cf: np.ndarray, dims: int, clusters: int) -> np.ndarray:
     """Ward's method over CFs: cluster index of each leaf.  Chains of nearest neighbours, O(leaves^2)."""
     n = len(cf)
     weight, centre = cf[:, 0].copy(), np.ascontiguousarray((cf[:, 1 : dims + 1] / cf[:, :1]).T)
-    alive, merges, chain = np.ones(n, bool), [], []
+    leaf, live, merges, chain = np.arange(n), n, [], []
     for _ in range(n - 1):
+        if 2 * live < len(leaf):  # what has been merged into others is left out from time to time
+            keep = np.isfinite(centre[0])
+            chain = [int(x) for x in (np.cumsum(keep) - 1)[chain]]
+            weight, centre, leaf = weight[keep], np.ascontiguousarray(centre[:, keep]), leaf[keep]
         while True:
             if not chain:
-                chain = [int(np.argmax(alive))]
+                chain = [int(np.argmax(np.isfinite(centre[0])))]
             i = chain[-1]
             off = centre - centre[:, i : i + 1]
             cost = weight * weight[i] / (weight + weight[i]) * np.einsum("dn,dn->n", off, off)
-            cost[~alive] = np.inf
             cost[i] = np.inf
             j = int(np.argmin(cost))
             if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
                 j = chain[-2]
                 break
             chain.append(j)
-        merges.append((float(cost[j]), i, j))
+        merges.append((float(cost[j]), int(leaf[i]), int(leaf[j])))
         chain = chain[:-2]
         a, b = min(i, j), max(i, j)
         centre[:, a] = (centre[:, a] * weight[a] + centre[:, b] * weight[b]) / (weight[a] + weight[b])
         weight[a] += weight[b]
-        alive[b] = False
+        centre[:, b] = np.inf  # infinitely far from all
+        live -= 1
     parent = np.arange(n)
 
     def root(i: int) -> int:
