@@ -234,7 +234,7 @@ def _sound(df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
 
 def ward_assignment(df: DataFrame, id_col: str, features: Sequence[str], clusters: int, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """``id, cluster, distance`` of every row; rows with a NULL, NaN or infinite feature or id take no part."""
-    rows = _sound(df, id_col, features)
+    rows = materialize(_sound(df, id_col, features), "points")  # worked out once, read for the trees and for the pass
     cols = [f"c{j}" for j in range(len(features))]
     centres = fit_centres(rows, cols, clusters, most_leaves)
     return rows.mapInPandas(_assign(centres), "id long, cluster int, distance double") if len(centres) else rows.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
@@ -248,7 +248,7 @@ def ward_clusters(df: DataFrame, id_col: str, features: Sequence[str], clusters:
     or infinite feature or id take no part; repeated rows count each; ties go
     to the lesser cluster and id; an empty table gives no cluster.
     """
-    rows = _sound(df, id_col, features)
+    rows = materialize(_sound(df, id_col, features), "points")  # worked out once, read for the trees and for the pass
     cols = [f"c{j}" for j in range(len(features))]
     centres = fit_centres(rows, cols, clusters, most_leaves)
     if not len(centres):
