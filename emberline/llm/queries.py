@@ -191,7 +191,7 @@ tb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lonind, latind,
 v AS (SELECT 'dc_med' AS field, lonind, latind, dc_med AS value FROM fb UNION ALL SELECT 'fwi_med', lonind, latind, fwi_med FROM fb UNION ALL SELECT 'tp', lonind, latind, tp FROM tb),
 r AS (SELECT *, row_number() OVER (PARTITION BY field, lonind, latind ORDER BY value) AS k, count(*) OVER (PARTITION BY field, lonind, latind) AS n FROM v WHERE value IS NOT NULL)"""
 
-#: The models of reading levels over all documents (no more than the training sample holds): bucket counts and sums of logarithms.
+#: The models of reading levels over all documents: bucket counts and sums of logarithms.
 _LEVELS = rf"""english AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) AS UBIGINT) % 2 AS fold,
     regexp_replace(regexp_replace(text, '[\x{{00AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '(?i)<[^<>]*>|(?:https?://|www\.)\S+|[^\s<>]+@[^\s<>]+\.\w+|&#?\w{{1,10}};', ' ', 'g') AS c
     FROM documents WHERE regexp_extract(lower(trim(lang)), '^([a-z]+)', 1) IN ('en', 'eng', 'english')),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 
 import numpy as np
@@ -11,22 +12,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keyed import join_per_key
+
 LEVELS = ("easy", "middle", "hard")
 #: Words are hashed to so many buckets: the models have folds x levels x buckets numbers, whatever the corpus.
 BUCKETS = 1 << 17
 FOLDS = 2
-#: The bound of the training sample: about so many documents with a judged level, and as many seeded by the formula.
-TRAIN_DOCS = 20_000
+#: Labels up to which the judged levels are broadcast; more are joined with the texts by id.
+BROADCAST_LABELS = 500_000
+#: Different words of a fold and level that are counted as words before they are added to their buckets.
+HELD_WORDS = 100_000
 SMOOTHING, SPREAD, BACKGROUND = 0.5, 0.01, 0.05
 #: Words scored at once.
 CHUNK_TOKENS = 500_000
 
 _STRIP = re.compile(r"<[^<>]*>|(?:https?://|www\.)\S+|[^\s<>]+@[^\s<>]+\.\w+|&#?\w{1,10};", re.I)
-_MARKS = re.compile(r"[<&@]|https?:|www\.", re.I)
 _SOFT = re.compile("[­​-‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+(?:['’\-‐‑][^\W_]+)*")
 _END = re.compile(r"[.!?…]+(?=[\"'”’)\]]*(?:\s|$))")
 _TOKEN = re.compile(r"[^\W_]+|[.!?…]+")
+_JOIN = re.compile(r"['\-](?<=[A-Za-z0-9]['\-])(?=[A-Za-z0-9])")
+#: For ASCII texts, which need no regular expression per word: lower case, one sign for all stops, blanks for all but words.
+_PARTED = {i: chr(i).lower() if chr(i).isalnum() else "." if chr(i) in ".!?" else " " for i in range(128)}
 _NO_ASCII_LETTER = bytes(i for i in range(128) if not chr(i).isalpha())
 
 
@@ -34,7 +41,18 @@ def readable(text: str) -> str:
     """The text without tags, links, entities and invisible characters."""
     if not text.isascii():
         text = _SOFT.sub("", text)
-    return _STRIP.sub(" ", text) if _MARKS.search(text) else text
+    marked = "<" in text or "&" in text or "@" in text or "://" in text or "www." in text.lower()
+    return _STRIP.sub(" ", text) if marked else text
+
+
+def _pieces(clean: str) -> list[str]:
+    """Lower-case words of a readable text, and its stops."""
+    if clean.isascii():
+        parted = clean.translate(_PARTED)
+        while ".." in parted:
+            parted = parted.replace("..", ".")
+        return parted.replace(".", " . ").split()
+    return _TOKEN.findall(clean.lower())
 
 
 def letters(text: str) -> int:
@@ -48,7 +66,11 @@ def measures(clean: str) -> tuple[int, int, int]:
     A stop, or several, before white space or the end closes a sentence, after
     an abbreviation too; words hold together at an apostrophe or hyphen.
     """
-    return len(_WORD.findall(clean)), max(1, len(_END.findall(clean))), letters(clean)
+    if clean.isascii():
+        words = len(clean.translate(_PARTED).replace(".", " ").split()) - len(_JOIN.findall(clean))
+    else:
+        words = len(_WORD.findall(clean))
+    return words, max(1, len(_END.findall(clean))), letters(clean)
 
 
 HARD_WORDS, HARD_PER_SENTENCE, HARD_LETTERS = 40, 18.0, 5.6
@@ -79,7 +101,7 @@ def label_levels(labels: DataFrame, doc_id: str, level: str) -> DataFrame:
 
 def tokens(clean: str) -> list[str]:
     """Lower-case words of a readable text, and one mark for each end of a sentence."""
-    return [t if t[0].isalnum() else "." for t in _TOKEN.findall(clean.lower())]
+    return [t if t[0].isalnum() else "." for t in _pieces(clean)]
 
 
 def bucket(word: str) -> int:
@@ -94,40 +116,42 @@ class _Hasher(dict):
         return at
 
     def ids(self, clean: str) -> list[int]:
-        return list(map(self.__getitem__, _TOKEN.findall(clean.lower())))
-
-
-def digest(doc: str) -> Column:
-    """Hexadecimal digits that depend on the document's id only: the first one tells its fold, the next eight whether it is drawn."""
-    return F.md5(F.coalesce(F.col(doc).cast("string"), F.lit("")))
+        return list(map(self.__getitem__, _pieces(clean)))
 
 
 def fold_of(doc: str) -> Column:
-    return F.pmod(F.conv(F.substring(digest(doc), 1, 1), 16, 10).cast("int"), F.lit(FOLDS))
-
-
-def drawn(doc: str, share: float) -> Column:
-    if share >= 1.0:
-        return F.lit(True)
-    return F.conv(F.substring(digest(doc), 2, 8), 16, 10).cast("long") < int(share * (1 << 32))
+    """The fold by the first hexadecimal digit of a hash of the document's id."""
+    digest = F.md5(F.coalesce(F.col(doc).cast("string"), F.lit("")))
+    return F.pmod(F.conv(F.substring(digest, 1, 1), 16, 10).cast("int"), F.lit(FOLDS))
 
 
 def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Word counts by fold, level and bucket of one partition; bucket -1 counts the documents."""
-    counts, docs, at = np.zeros(FOLDS * len(LEVELS) * BUCKETS, np.int64), np.zeros((FOLDS, len(LEVELS)), np.int64), _Hasher()
+    parts = FOLDS * len(LEVELS)
+    counts, docs, held, at = np.zeros((parts, BUCKETS), np.int64), np.zeros(parts, np.int64), [Counter() for _ in range(parts)], _Hasher()
+
+    def settle(part: int) -> None:
+        seen = held[part]
+        np.add.at(counts[part], np.fromiter(map(at.__getitem__, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
+        seen.clear()
+
     for b in batches:
         for fold, label, text in zip(b["fold"], b["label"], b["text"], strict=True):
             clean = readable(text)
             level = label if isinstance(label, str) else formula_level(*measures(clean))
-            ids = at.ids(clean)
-            if level is not None and ids:
-                k = LEVELS.index(level)
-                docs[fold, k] += 1
-                np.add.at(counts, np.array(ids) + (fold * len(LEVELS) + k) * BUCKETS, 1)
-    full = np.flatnonzero(counts)
-    yield pd.DataFrame({"fold": (full // (BUCKETS * len(LEVELS))).astype("int32"), "level": (full // BUCKETS % len(LEVELS)).astype("int32"), "bucket": (full % BUCKETS).astype("int32"), "n": counts[full]})
-    fold, level = np.indices(docs.shape)
-    yield pd.DataFrame({"fold": fold.ravel().astype("int32"), "level": level.ravel().astype("int32"), "bucket": np.full(docs.size, -1, "int32"), "n": docs.ravel()})
+            words = _pieces(clean)
+            if level is not None and words:
+                part = fold * len(LEVELS) + LEVELS.index(level)
+                docs[part] += 1
+                held[part].update(words)
+                if len(held[part]) > HELD_WORDS:
+                    settle(part)
+    for part in range(parts):
+        settle(part)
+    part, full = np.nonzero(counts)
+    level, every = np.arange(parts), np.full(parts, -1)
+    for k, bucket_, n in ((part, full, counts[part, full]), (level, every, docs)):
+        yield pd.DataFrame({"fold": (k // len(LEVELS)).astype("int32"), "level": (k % len(LEVELS)).astype("int32"), "bucket": bucket_.astype("int32"), "n": n})
 
 
 class LevelModels:
@@ -150,20 +174,20 @@ class LevelModels:
         self.logp, self.prior = np.concatenate(logp, axis=1), np.stack(prior, axis=1)
 
     @classmethod
-    def fit(cls, docs: DataFrame, doc_id: str, text: str, labels: DataFrame, level: str, most: int = TRAIN_DOCS) -> LevelModels:
+    def fit(cls, docs: DataFrame, doc_id: str, text: str, labels: DataFrame, level: str) -> LevelModels:
         """Fitted to the judged level of a document where there is one, else to the formula's.
 
-        ``most`` bounds the sample: of more judged documents, and of more
-        documents in all, so large a share is drawn by a hash of the id that
-        about ``most`` of each remain.  Only their texts go to Python, in one
-        pass; the drawn labels are broadcast; at most folds x levels x buckets
+        Every text and every judgement counts.  The texts are read in one
+        pass; they are joined with the judged levels by broadcast, and beyond
+        ``BROADCAST_LABELS`` labels by id; at most folds x levels x buckets
         numbers reach the driver.  NULL texts take no part.
         """
         judged = label_levels(labels.where(F.col(doc_id).isNotNull()), doc_id, level).withColumnRenamed(doc_id, "doc")
-        n_judged, n_docs = judged.count(), docs.count()
-        judged = judged.where(drawn("doc", most / max(1, n_judged)))  # about `most` rows
-        rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(judged), "doc", "left")
-        rows = rows.where(F.col("label").isNotNull() | drawn("doc", most / max(1, n_docs)))
+        rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
+        if labels.count() <= BROADCAST_LABELS:
+            rows = rows.join(F.broadcast(judged), "doc", "left")
+        else:
+            rows = join_per_key(rows, judged.join(rows.groupBy("doc").agg(F.count("*").alias("rows")), "doc"), "doc", "rows", ["label"])
         rows = rows.select(fold_of("doc").alias("fold"), "label", "text")
         found = rows.mapInPandas(_bucket_counts, "fold int, level int, bucket int, n long").groupBy("fold", "level", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         counts, docs_, words = np.zeros((FOLDS, len(LEVELS), BUCKETS)), np.zeros((FOLDS, len(LEVELS))), found[found["bucket"] >= 0]

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emberline.llm import mixing as M
+from emberline.llm import reading as R
 from emberline.llm.reading import FOLDS, LevelModels, bucket, fold_of, formula_level, is_hard, label_levels, measures, readable, reading_levels, tokens
 
 pytestmark = pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no tokenizer files")
@@ -109,3 +110,29 @@ def test_levels(spark):
     at = bucket("notwithstanding")
     assert len(set(alone.logp[:, fold * size + at])) == 1 and len(set(alone.logp[:, (1 - fold) * size + at])) > 1
     assert tokens(readable("A <b>B</b> c... https://x.y/z d!")) == ["a", "b", "c", ".", "d", "."]
+
+
+def test_levels_of_many_documents_come_from_all(spark, monkeypatch):
+    n, judged = 30_000, 24_000  # beyond 20,000 judged ones a share was drawn, and of more documents in all
+    df = spark.range(-1, n).selectExpr("IF(id < 0, NULL, id) AS doc_id", "'It works. I do.' AS text")
+    labels = spark.range(judged).selectExpr("id AS doc_id", "'hard' AS level_name")
+    fold = {r["doc_id"]: r["fold"] for r in df.select("doc_id", fold_of("doc_id").alias("fold")).collect()}
+
+    def check():
+        models = LevelModels.fit(df, "doc_id", "text", labels, "level_name")
+        for f in range(FOLDS):
+            other = [d is not None and d < judged for d in fold if fold[d] != f]
+            assert np.allclose(np.exp(models.prior[:, f]), np.array([len(other) - sum(other) + 1, 1, sum(other) + 1]) / (len(other) + 3))
+        return models
+
+    few = check()
+    monkeypatch.setattr(R, "BROADCAST_LABELS", 10)  # as with very many labels: texts and levels meet by id
+    monkeypatch.setattr(R, "HELD_WORDS", 2)
+    assert (check().logp == few.logp).all()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aZ09_.!?'-\"() \n\t\x1c;")))
+def test_ascii_texts_are_read_like_others(s):
+    w, n, k = measures(s)
+    assert measures(s + " é") == (w + 1, n, k + 1) and tokens(s + " é") == [*tokens(s), "é"]
